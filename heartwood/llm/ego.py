@@ -177,7 +177,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH RECURSIVE vectors AS (
   SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), usual AS (
   SELECT len(e) AS size FROM vectors GROUP BY len(e) ORDER BY count(*) DESC, size DESC LIMIT 1
 ), near AS (

@@ -129,7 +129,7 @@ WITH known(sentence, id) AS (VALUES {known}), lines AS (
   FROM lines LEFT JOIN known ON sentence = trim(regexp_replace(part, '[^a-z0-9+]+', ' ', 'g')) GROUP BY doc_id, row_id
 ), ruled AS (SELECT doc_id, n, {sequence} AS s FROM ids)
 SELECT doc_id, n AS n_sentences, regexp_replace(s, '#[0-9]+;', '<=>', 'g') AS sequence,
-       array_to_string(list_transform(regexp_extract_all(s, '#([0-9]+);', 1), x -> ([{names}])[x::int]), ',') AS licenses
+       array_to_string(list_transform(regexp_extract_all(s, '#([0-9]+);', 1), lambda x: ([{names}])[x::int]), ',') AS licenses
 FROM ruled
 """
 

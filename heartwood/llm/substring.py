@@ -167,7 +167,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH words AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), places AS (
   SELECT doc_id, w, unnest(range(len(w) - {MIN_WORDS - 1})) AS start FROM words WHERE len(w) >= {MIN_WORDS}
