@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("ledger", "files", "tree", "manifests", "declarations", "stream")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
