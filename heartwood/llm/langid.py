@@ -5,13 +5,18 @@ One model of order ``ORDER`` for each language, over the characters of words
 fitted probabilities lie in sorted arrays of 64-bit n-gram hashes, one array
 for each order and one column for each language; a document gets the language
 of the lowest cross-entropy per character, and is rejected ("und") if that is
-above the language's calibrated limit for a text of this length.
+above the language's calibrated limit for a text of this length. The limits
+lie between held-out texts in the language and held-out texts in a language
+that is unknown (each scored without the model of its own language), so that
+texts with foreign or odd passages stay and texts in no known language go.
 
 The models are fitted on at most ``TRAIN_PER_LANG`` labelled rows of each
 language (a documented bound); half as many others calibrate the limits. Every
 row, whole, is scored.
 
-Defined results: null, empty or blank texts have no language: lang_id "und",
+Words with digits belong to no language and aren't scored.
+
+Defined results: null, empty or blank texts, and those of such words only, have no language: lang_id "und",
 accepted false, cross_entropy null. Rows with a null doc_id are scored and
 keep that null; repeated rows are each scored alike; ties between languages go
 to the first by name. With no labelled row at all every document is rejected.
@@ -34,8 +39,11 @@ from heartwood.llm.common import as_string, encode_words, mix64, segment_sums, s
 ORDER = 5
 #: At most so many labelled rows of a language are fitted, and half as many more calibrate.
 TRAIN_PER_LANG = 300
-#: A text is rejected beyond so many robust deviations above the held-out median of its language.
-REJECT_DEVIATIONS = 12.0
+#: Where the limit lies between the held-out medians of the language (0) and of unknown languages (1), and how many deviations of a text's length come on top.
+REJECT_SHARE = 0.75
+REJECT_DEVIATIONS = 4.0
+#: Distance of unknown languages where a single language leaves nothing to measure it by, in nats.
+_APART = 1.5
 _PAD = 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,8 +74,8 @@ class Model:
     langs: list[str]
     layers: list[Layer]
     floor: np.ndarray
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    spread: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -203,6 +211,8 @@ def score_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat, offsets = split_words(pc.utf8_lower(texts))
     codes, unique = encode_words(flat)
     scores, chars = word_scores(model, unique.to_pylist())
+    spoken = ~pc.match_substring_regex(unique, "[0-9]").to_numpy(zero_copy_only=False)  # numbers, codes and keys belong to no language
+    scores, chars = scores * spoken[:, None], chars * spoken
     n = segment_sums(chars[codes] if len(codes) else np.zeros(0, dtype=np.int64), offsets)
     total = segment_sums(scores[codes] if len(codes) else np.zeros((0, len(model.langs))), offsets)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -211,24 +221,27 @@ def score_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def limits(model: Model, lang: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """The highest cross-entropy accepted for a text of so many characters in this language."""
-    a, b = model.spread[lang, 0], model.spread[lang, 1]
-    return model.centre[lang] + REJECT_DEVIATIONS * np.sqrt(a + b / np.maximum(chars, 1))
+    return model.limit[lang] + REJECT_DEVIATIONS * np.sqrt(model.spread[lang] / np.maximum(chars, 1))
 
 
 def calibrate(model: Model, texts: list[str], labels: list[str]) -> None:
-    """Sets the limits from held-out texts: the median, and the deviation split into a fixed part and one that shrinks with length."""
+    """Sets the limits from held-out texts: how they score by their own language, how by the others alone, and how that varies with length."""
     h, n = score_batch(model, pa.array(texts, pa.large_string()))
-    model.centre, model.spread = np.full(len(model.langs), 3.0), np.tile([0.02, 4.0], (len(model.langs), 1))
-    for k, lang in enumerate(model.langs):
-        own = np.array([x == lang for x in labels], dtype=bool) & (n > 0)
-        if own.sum() < 8:
+    lang = np.array([model.langs.index(x) if x in model.langs else -1 for x in labels], dtype=np.int64)
+    fine = (n > 0) & (lang >= 0)
+    h, n, lang = h[fine], n[fine], lang[fine]
+    model.limit, model.spread = np.full(len(model.langs), 3.0), np.full(len(model.langs), 4.0)
+    others = h.copy()
+    others[np.arange(len(h)), lang] = np.inf
+    unknown = np.median(others.min(1)) if len(h) and len(model.langs) > 1 else None
+    for k in range(len(model.langs)):
+        x, size = h[lang == k, k], n[lang == k]
+        if len(x) < 8:
             continue
-        x, size = h[own, k], n[own]
-        model.centre[k] = np.median(x)
-        long = size >= np.median(size)
-        a = (1.4826 * np.median(np.abs(x[long] - model.centre[k]))) ** 2
-        b = np.median((x - model.centre[k]) ** 2 * size) * 1.4826**2
-        model.spread[k] = max(a, 1e-4), max(b, 0.5)
+        centre = np.median(x)
+        apart = unknown - centre if unknown is not None and unknown > centre else _APART
+        model.limit[k] = centre + REJECT_SHARE * apart
+        model.spread[k] = max(np.median((x - centre) ** 2 * size) * 1.4826**2, 0.5)
 
 
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, order: int = ORDER) -> Model:
