@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import connected, cut
+from heartwood.llm.common import connected, cut, map_batches
 
 EPS = 0.2
 #: Leading axes that make up the grid, and vectors of an interval.
@@ -57,7 +57,7 @@ def axes(vectors: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             total += np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
-    sums = {r["k"]: r["v"] for r in vectors.select("embedding").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    sums = {r["k"]: r["v"] for r in map_batches(vectors.select("embedding"), run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
     if not sums or not sums[0]:
         return np.zeros(size), np.eye(size)
     n = sums[0]
@@ -117,7 +117,7 @@ def edges(vectors: DataFrame, size: int, eps: float, interval: int = INTERVAL) -
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1, dtype=np.int32) * m), pa.array(g.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists], ["vec_id", "embedding", "g"])
 
-    placed = vectors.mapInArrow(project, "vec_id long, embedding array<double>, g array<double>")
+    placed = map_batches(vectors, project, "vec_id long, embedding array<double>, g array<double>")
     placed = placed.withColumn("cells", F.transform("g", lambda v: F.floor(v / eps)))
     ordered = placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *[F.col("cells")[k] for k in range(m)]).sortWithinPartitions(*[F.col("cells")[k] for k in range(m)], "vec_id")
 
@@ -129,7 +129,7 @@ def edges(vectors: DataFrame, size: int, eps: float, interval: int = INTERVAL) -
             seen += len(batch)
             yield pa.RecordBatch.from_arrays([pa.array(at), *(batch.column(c) for c in ("vec_id", "embedding", "g"))], ["interval", "vec_id", "embedding", "g"])
 
-    sequence = cut(ordered.mapInArrow(number, "interval long, vec_id long, embedding array<double>, g array<double>"))
+    sequence = cut(map_batches(ordered, number, "interval long, vec_id long, embedding array<double>, g array<double>"))
     box = sequence.groupBy("interval").agg(*[f(F.col("g")[k]).alias(f"{n}{k}") for k in range(m) for n, f in (("lo", F.min), ("hi", F.max))])
     cell = lambda c: F.floor(F.col(c) / F.lit(eps)).cast("long")
     # each interval spans a few cells of the first axis: those of its partner are among them or next to them

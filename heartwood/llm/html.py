@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import as_string, slices
+from heartwood.llm.common import as_string, map_batches, slices
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -170,7 +170,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(titles, pa.string()), pa.array(n, pa.int32()), pa.array(kept, pa.int32()), pa.array(texts, pa.string())], ["page_id", "title", "n_blocks", "n_content", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, title string, n_blocks int, n_content int, text string")
+    return map_batches(rows, run, "page_id long, title string, n_blocks int, n_content int, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

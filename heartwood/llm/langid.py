@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import as_string, encode_words, mix64, segment_sums, slices, split_words
+from heartwood.llm.common import as_string, encode_words, map_batches, mix64, segment_sums, slices, split_words
 
 ORDER = 5
 #: At most so many labelled rows of a language are fitted, and half as many more calibrate.
@@ -264,6 +264,8 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, order: int = ORDER) -
             c.update(t.lower().split())
         held += [(lang, t) for t in texts[keep : keep + per_lang // 2]]
     words = {k: c for k, c in words.items() if c}
+    if not words:
+        return Model([], [], np.zeros(0))
     model = fit(words, order)
     if model.langs:
         calibrate(model, [t for _, t in held], [x for x, _ in held])
@@ -294,7 +296,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_id string, cross_entropy double, accepted boolean")
+    return map_batches(rows, run, "doc_id long, lang_id string, cross_entropy double, accepted boolean")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -316,7 +318,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 at = part.schema.get_field_index("lang")
                 yield part.set_column(at, "lang", names.cast(part.schema.field(at).type)).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import cut
+from heartwood.llm.common import cut, map_batches
 from heartwood.llm.ego import matrix, usable
 
 K = 10
@@ -126,7 +126,7 @@ def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sam
         rows = rows[best(rows[:, 0], rows[:, 1], rows[:, 2], k)]
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), pa.array(rows[:, 4].astype(np.int32))], ["q", "d", "s", "places"])
 
-    near = placed.select("vec_id", "embedding", "prefix").mapInArrow(run, "q int, d double, s int, places int")
+    near = map_batches(placed.select("vec_id", "embedding", "prefix"), run, "q int, d double, s int, places int")
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("d", "s", "places"))), 1, k)
     true = near.groupBy("q").agg(nearest.alias("n")).select(F.explode("n").alias("n")).select("n.s", "n.places").collect()
     if not true:
@@ -160,7 +160,7 @@ def neighbors(vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * size), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists], ["vec_id", "embedding", "prefix"])
 
-    placed = cut(fine.mapInArrow(place, "vec_id long, embedding array<double>, prefix array<int>"))
+    placed = cut(map_batches(fine, place, "vec_id long, embedding array<double>, prefix array<int>"))
     s, limit = calibrate(placed, x, ids, prefixes(x, pivots, size), dim, k, target)
     posted = placed.select("*", F.explode(F.slice("prefix", 1, s)).alias("pivot"))
     tiles = cut(posted.groupBy("pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))

@@ -32,15 +32,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from heartwood.llm.common import Probe, encode_words, id_text, mix64, ragged, slices
+from heartwood.llm.common import Probe, encode_words, id_text, map_batches, mix64, ragged, slices
 
 #: The vocabulary that the queries use; the driver reads it and sends it to the executors.
 MODEL_PATH = os.environ.get("HEARTWOOD_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 BLANK = "▁"
-MEMO = 300_000
+MEMO = 100_000
 #: Chunks up to this length are searched in lockstep, so many at once; longer ones by ``Stream``.
 SHORT = 64
-LOCKSTEP = 60_000
+LOCKSTEP = 20_000
+#: Known pairs of pieces that are held at once.
+PAIRS = 1_000_000
 _LATER = 1 << 60
 
 
@@ -145,7 +147,7 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             self.fits[a << 32 | b] = known
         return known
@@ -272,6 +274,9 @@ class Lockstep:
         if (out < 0).any():
             new = np.unique(keys[out < 0])
             follows = self.v.follows
+            if self.known.size > PAIRS:
+                self.known = Probe(np.zeros(0), np.zeros(0))
+                new = np.unique(keys)
             fit = np.fromiter((follows(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()), dtype=np.int64, count=len(new))
             self.known.add(new, fit)
             out = self.known.get(keys, -1)
@@ -472,7 +477,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                 lists = pc.if_else(missing, pa.scalar(None, lists.type), lists) if missing.true_count else lists
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int32)), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
+    return map_batches(id_text(docs), run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

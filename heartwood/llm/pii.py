@@ -3,7 +3,7 @@
 High-recall generators propose overlapping spans (e-mail addresses, phone
 numbers, IP addresses, card numbers, account and social numbers, secrets).
 Boosted trees score each by its format and its context; a kind's threshold is
-the lowest score whose held-out precision is still ``PRECISION``. Accepted
+the lowest score, 0.5 at least, whose held-out precision is still ``PRECISION``. Accepted
 spans that overlap are redacted together, under the kind of the best score.
 
 The trees are trained on ``TRAIN_SPANS`` synthetic examples, drawn with a fixed
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from heartwood.llm import boost
-from heartwood.llm.common import id_text, slices
+from heartwood.llm.common import id_text, map_batches, slices
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "ACCOUNT", "SSN", "SECRET")
 TRAIN_SPANS = 5000
@@ -212,7 +212,7 @@ def model(spans: int = TRAIN_SPANS, precision: float = PRECISION) -> tuple[boost
         right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(right >= precision)
         if len(good):
-            limits[g] = min(max(score[order][good[-1]], 0.05), 0.9)
+            limits[g] = min(max(score[order][good[-1]], 0.5), 0.9)  # never a span that is more likely none
     return trees, limits
 
 
@@ -279,7 +279,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows = [[{"start": s, "end": e, "kind": k, "score": p} for s, e, k, p in x] for x in spans]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, pa.array(rows, _SPANS)], ["doc_id", "text", "spans"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, text string, spans array<struct<start:int,end:int,kind:string,score:double>>")
+    return map_batches(id_text(docs), run, "doc_id long, text string, spans array<struct<start:int,end:int,kind:string,score:double>>")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -298,7 +298,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     part = part.set_column(j, "n_chars", pc.if_else(mask, length, part.column(j)))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import as_string, connected, cut, encode_words, id_text, ragged, slices, split_words
+from heartwood.llm.common import as_string, connected, cut, encode_words, id_text, map_batches, ragged, slices, split_words
 
 BITS = 128
 MAX_BITS = 22
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(f[:, 0].view(np.int64)), pa.array(f[:, 1].view(np.int64))], ["doc_id", "n_words", "f0", "f1"]
                 )
 
-    return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n_words int, f0 long, f1 long")
+    return map_batches(id_text(docs).where("doc_id IS NOT NULL"), run, "doc_id long, n_words int, f0 long, f1 long")
 
 
 def popcounts(f: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:

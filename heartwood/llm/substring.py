@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import as_string, id_text, mix64, slices
+from heartwood.llm.common import as_string, id_text, map_batches, mix64, slices
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 25
@@ -123,7 +123,7 @@ def seeds(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[new])], ["h", "doc_id"])
 
     same = Window.partitionBy("h")
-    found = docs.mapInArrow(run, "h long, doc_id long").select("h", "doc_id", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"))
+    found = map_batches(docs, run, "h long, doc_id long").select("h", "doc_id", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"))
     return found.where("lo < hi").groupBy("doc_id").agg(F.collect_set("h").alias("seeds"))
 
 
@@ -151,7 +151,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANC
                 start = (at - offsets[who])[near].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(full[near].view(np.int64)), pa.array(part.column("doc_id").to_numpy()[who[near]]), pa.array(start)], ["w", "doc_id", "start"])
 
-    windows = again.select("doc_id", "text", "seeds").mapInArrow(run, "w long, doc_id long, start int")
+    windows = map_batches(again.select("doc_id", "text", "seeds"), run, "w long, doc_id long, start int")
     same = Window.partitionBy("w")
     known = windows.select("doc_id", "start", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("lo < hi")
     row = Window.partitionBy("doc_id").orderBy("start")
