@@ -38,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What a reused Python worker keeps for its later tasks, by operator.
+KEPT: dict[str, object] = {}
+
+
+def _only(keeps: str) -> None:
+    for name in [k for k in KEPT if k != keeps]:
+        del KEPT[name]
+
+
 def _give_back() -> None:
     """What Arrow and the allocator hold in reserve goes back to the machine: reused workers wait with little memory."""
     pa.default_memory_pool().release_unused()
@@ -47,11 +56,12 @@ def _give_back() -> None:
         pass
 
 
-def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+def map_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str = "") -> DataFrame:
     """``mapInArrow`` with batches of bounded size, which becomes the session's setting, and workers that give their memory back."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _only(keeps)
         yield from run(batches)
         _give_back()
 

@@ -32,15 +32,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from heartwood.llm.common import Probe, encode_words, id_text, map_batches, mix64, ragged, slices
+from heartwood.llm.common import KEPT, Probe, encode_words, id_text, map_batches, mix64, ragged, slices
 
 #: The vocabulary that the queries use; the driver reads it and sends it to the executors.
 MODEL_PATH = os.environ.get("HEARTWOOD_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 BLANK = "▁"
-MEMO = 100_000
+MEMO = 30_000
 #: Chunks up to this length are searched in lockstep, so many at once; longer ones by ``Stream``.
 SHORT = 64
-LOCKSTEP = 20_000
+LOCKSTEP = 10_000
 #: Known pairs of pieces that are held at once.
 PAIRS = 1_000_000
 _LATER = 1 << 60
@@ -128,28 +128,29 @@ class Vocabulary:
             later, tree = tree[1], tree[side]
         return out[::-1]
 
-    def follows(self, a: int, b: int) -> bool:
+    def stay_apart(self, a: int, b: int) -> bool:
         """Whether the merges of both texts side by side end in just these two pieces."""
+        left, right = self.right[a], self.left[b]
+        rank, i, j = self.rank, 0, 0
+        while True:
+            (x, xt), (y, yt) = left[i], right[j]
+            r = rank.get(x + y, _LATER)
+            if r < xt and r <= yt and r < _LATER:
+                return False
+            if xt == yt == _LATER:
+                return True
+            if xt <= yt:
+                i += 1
+            else:
+                j += 1
+
+    def follows(self, a: int, b: int) -> bool:
+        """``stay_apart``, remembered."""
         known = self.fits.get(a << 32 | b)
         if known is None:
-            left, right = self.right[a], self.left[b]
-            rank, i, j = self.rank, 0, 0
-            while True:
-                (x, xt), (y, yt) = left[i], right[j]
-                r = rank.get(x + y, _LATER)
-                if r < xt and r <= yt and r < _LATER:
-                    known = False
-                    break
-                if xt == yt == _LATER:
-                    known = True
-                    break
-                if xt <= yt:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.fits) > 400_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
-            self.fits[a << 32 | b] = known
+            known = self.fits[a << 32 | b] = self.stay_apart(a, b)
         return known
 
     def byte_ids(self, char: str) -> list[int]:
@@ -273,7 +274,7 @@ class Lockstep:
         out = self.known.get(keys, -1)
         if (out < 0).any():
             new = np.unique(keys[out < 0])
-            follows = self.v.follows
+            follows = self.v.stay_apart
             if self.known.size > PAIRS:
                 self.known = Probe(np.zeros(0), np.zeros(0))
                 new = np.unique(keys)
@@ -414,14 +415,11 @@ class Encoder:
         return np.concatenate(parts) if parts else values, np.concatenate([[0], np.cumsum(size)])
 
 
-_KEPT: list[Encoder] = []
-
-
 def _encoder(v: Vocabulary) -> Encoder:
     """This worker process's encoder: later tasks find the memo filled."""
-    if not _KEPT or _KEPT[0].v.digest != v.digest:
-        _KEPT[:] = [Encoder(v)]
-    return _KEPT[0]
+    if "pieces" not in KEPT or KEPT["pieces"].v.digest != v.digest:
+        KEPT["pieces"] = Encoder(v)
+    return KEPT["pieces"]
 
 
 def decode_batch(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -477,7 +475,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                 lists = pc.if_else(missing, pa.scalar(None, lists.type), lists) if missing.true_count else lists
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int32)), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return map_batches(id_text(docs), run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
+    return map_batches(id_text(docs), run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean", keeps="pieces")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
