@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's documents are put in a random but fixed order (by hash) and cut
-into blocks of ``BLOCK`` consecutive ones. As many blocks as the weights allow
-without repeating any document are shared out: exact quotas of blocks for each
-source (largest remainders), split down a binary tree over the output shards,
+into blocks of ``BLOCK`` consecutive ones, which are shared out without
+repeating any document: exact quotas of blocks for each source (largest
+remainders), split down a binary tree over the output shards,
 at each node by one multivariate hypergeometric draw, so that the quotas of
-all shards add up exactly. A shard draws its blocks, disjoint from all
+all shards add up exactly. A scarce source never shrinks the others: it gives
+all it has, and they keep their weights among themselves (``FILL``). A shard draws its blocks, disjoint from all
 others', and shuffles their documents locally.
 
 The driver holds a number for each source and shard, never one for a document:
@@ -35,20 +36,28 @@ SHARD_BLOCKS = 2_500
 BUCKET_ROWS = 20_000
 #: Without given weights a source weighs its number of documents to this power.
 TEMPERATURE = 0.5
+#: The mixture grows until sources of more weight than the rest of this would fall short of their shares.
+FILL = 0.5
 
 
 def quotas(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
-    """Blocks of each source: the most for which all shares keep to the weights, rounded by largest remainders."""
-    w = {s: float(weights.get(s, 0.0)) for s in blocks}
+    """Blocks of each source: its share of the mixture, or all it has if that is less, rounded by largest remainders.
+
+    The mixture is the largest that sources of at least ``FILL`` of the weight can fill with their whole share.
+    """
+    w = {s: max(float(weights.get(s, 0.0)), 0.0) if blocks[s] else 0.0 for s in blocks}
     total = sum(w.values())
     if total <= 0:
         return dict.fromkeys(blocks, 0)
     w = {s: x / total for s, x in w.items()}
-    # a weighted source without any block leaves the others to share its part
-    size = math.floor(min((blocks[s] / x for s, x in w.items() if x > 0 and blocks[s]), default=0) + 1e-9)
-    exact = {s: size * x for s, x in w.items()}
+    size, short = 0.0, 0.0
+    for s in sorted((s for s in w if w[s] > 0), key=lambda s: (blocks[s] / w[s], s)):
+        size, short = blocks[s] / w[s], short + w[s]
+        if short > 1 - FILL - 1e-9:
+            break
+    exact = {s: min(blocks[s], size * x) for s, x in w.items()}
     out = {s: min(blocks[s], math.floor(x + 1e-9)) for s, x in exact.items()}
-    left = size - sum(out.values())
+    left = math.floor(sum(exact.values()) + 1e-9) - sum(out.values())
     for s in sorted(exact, key=lambda s: (out[s] - exact[s], s)):
         if left > 0 and out[s] < blocks[s] and w[s] > 0:
             out[s] += 1

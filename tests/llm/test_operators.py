@@ -181,6 +181,15 @@ def test_mixing_quotas_and_tree(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_mixing_scarce_source_gives_all_and_shrinks_no_other():
+    for big, small in (({f"s{k}": 625_000 for k in range(20)}, {"": 1}), ({"hot": 6250} | {f"s{k}": 329 for k in range(19)}, {"": 1, "x": 2})):
+        weights = {s: n**0.5 for s, n in (big | small).items()}
+        alone, both = mixing.quotas(big, weights), mixing.quotas(big | small, weights)
+        assert all(both[s] == n for s, n in small.items())
+        assert all(abs(both[s] - alone[s]) <= 1 for s in big) and sum(both.values()) >= sum(alone.values())
+    assert mixing.quotas({"a": 900, "b": 600, "c": 1}, {"a": 5, "b": 3, "c": 2}) == {"a": 900, "b": 540, "c": 1}
+
+
 def brute_simhash(text):
     words = set(re.findall(r"[^\W_]+", text.lower()))
     bits = [int(hashlib.md5(w.encode()).hexdigest(), 16) for w in words]
