@@ -85,8 +85,12 @@ def distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
 
 
 def best(q: np.ndarray, o: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k nearest of each q, in order of q, distance and o."""
-    order = np.lexsort((o, d, q))
+    """Indices of the k nearest different o of each q, in order of q, distance and o."""
+    order = np.lexsort((d, o, q))
+    new = np.ones(len(q), dtype=bool)
+    new[1:] = (q[order][1:] != q[order][:-1]) | (o[order][1:] != o[order][:-1])
+    order = order[new]
+    order = order[np.lexsort((o[order], d[order], q[order]))]
     q = q[order]
     first = np.ones(len(q), dtype=bool)
     first[1:] = q[1:] != q[:-1]
@@ -107,11 +111,11 @@ def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sam
             yp = batch.column("prefix").flatten().to_numpy().reshape(-1, size)
             d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
             d2[ids[:, None] == theirs[None]] = np.inf
-            near = np.argpartition(d2, min(k, len(y)) - 1, axis=1)[:, :k]
-            i = np.repeat(np.arange(len(x)), near.shape[1])
-            j = near.ravel()
-            fine = np.isfinite(d2[i, j])
-            i, j = i[fine], j[fine]
+            by = np.argsort(theirs, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], theirs[by][1:] != theirs[by][:-1]]))
+            least = np.minimum.reduceat(d2[:, by], starts, axis=1) if len(starts) < len(y) else d2
+            limit = np.partition(least, min(k, len(starts)) - 1, axis=1)[:, min(k, len(starts)) - 1]
+            i, j = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
             a, b = prefix[i], yp[j]
             same = a[:, :, None] == b[:, None, :]
             row, pa_, pb_ = np.nonzero(same)
@@ -124,10 +128,11 @@ def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sam
                 held = [rows[best(rows[:, 0], rows[:, 1], rows[:, 2], k)]]
         rows = np.concatenate(held)
         rows = rows[best(rows[:, 0], rows[:, 1], rows[:, 2], k)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), pa.array(rows[:, 4].astype(np.int32))], ["q", "d", "s", "places"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1].astype(np.int64)), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), pa.array(rows[:, 4].astype(np.int32))], ["q", "o", "d", "s", "places"])
 
-    near = map_batches(placed.select("vec_id", "embedding", "prefix"), run, "q int, d double, s int, places int")
-    nearest = F.slice(F.array_sort(F.collect_list(F.struct("d", "s", "places"))), 1, k)
+    near = map_batches(placed.select("vec_id", "embedding", "prefix"), run, "q int, o long, d double, s int, places int")
+    near = near.groupBy("q", "o").agg(F.min(F.struct("d", "s", "places")).alias("n"))
+    nearest = F.slice(F.array_sort(F.collect_list("n")), 1, k)
     true = near.groupBy("q").agg(nearest.alias("n")).select(F.explode("n").alias("n")).select("n.s", "n.places").collect()
     if not true:
         return size, 0
@@ -138,7 +143,7 @@ def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sam
 def neighbors(vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int = SAMPLE, target: float = TARGET, tile: int = TILE) -> DataFrame:
     spark = vectors.sparkSession
     nothing = spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
-    fine = usable(vectors)
+    fine = usable(vectors).distinct()
     top = fine.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     if top is None or top["count"] < 2:
         return nothing

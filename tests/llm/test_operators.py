@@ -153,6 +153,28 @@ def test_nearest_neighbors_recall(spark):
     assert right / (len(x) * permutation.K) >= 0.9
 
 
+def true_neighbors(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return np.sort(d, axis=1)[:, :k]
+
+
+def test_nearest_neighbors_are_different_ids(spark):
+    g = np.random.default_rng(9)
+    x = g.normal(size=(300, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    near = [(7, (x[7] + g.normal(size=16) * 1e-4).tolist()) for _ in range(30)]  # many places of one id
+    got = permutation.neighbors(spark.createDataFrame(rows * 2 + [rows[3]] * 30 + near, "vec_id long, embedding array<double>"), tile=64).collect()
+    true = true_neighbors(x, permutation.K)
+    assert len({(r.vec_id, r.neighbor_id) for r in got}) == len(got) == 300 * permutation.K
+    assert sum(r.distance <= true[r.vec_id, -1] + 1e-2 for r in got) >= 0.9 * len(got)
+
+
+def test_best_keeps_different_ids():
+    q, o, d = np.zeros(14, dtype=int), np.array([1] * 10 + [2, 3, 4, 2]), np.array([0.1] * 10 + [0.3, 0.2, 0.4, 0.25])
+    assert [(int(o[k]), float(d[k])) for k in permutation.best(q, o, d, 3)] == [(1, 0.1), (3, 0.2), (2, 0.25)]
+
+
 def test_footrule_of_prefixes():
     g = np.random.default_rng(6)
     p = np.array([g.permutation(30)[:8] for _ in range(20)])
