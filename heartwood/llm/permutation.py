@@ -10,7 +10,10 @@ the ``K`` best of each file are merged for each vector.
 
 ``s`` and the footrule limit are calibrated at every size: ``SAMPLE`` rows are
 compared with all rows exactly, and both are set so that ``TARGET`` of their
-true neighbours meet in a file, and as many pass the limit. The files are cut
+true neighbours meet in a file, and as many pass the limit. Both suit the dense
+rows, so what the index finds is taken over only for a vector with ``K``
+neighbours that lie as densely as sampled rows which it served well; all other
+vectors are compared with every row exactly. The files are cut
 into tiles, so that one of a crowded pivot is the work of many tasks; pivots
 grow with the table up to ``PIVOT_BYTES``, the size of what is broadcast.
 
@@ -27,6 +30,8 @@ and embedding are read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +50,12 @@ PIVOT_BYTES = 64 << 20
 #: Rows of a tile; a pair of tiles is compared at once.
 TILE = 2_048
 _PAIRS = 100_000
+#: Least recall of the index, on any window of sampled rows of similar density, for its rows to be taken over.
+SERVED = 0.9
+_WINDOW = 20
+#: Bytes of vectors that are broadcast at once for the exact pass, and rows compared at once.
+EXACT_BYTES = 32 << 20
+_ROWS = 256
 
 
 def prefixes(x: np.ndarray, pivots: np.ndarray, size: int) -> np.ndarray:
@@ -98,8 +109,82 @@ def best(q: np.ndarray, o: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(q)) - start < k]
 
 
-def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sample_prefix: np.ndarray, dim: int, k: int, target: float) -> tuple[int, int]:
-    """(s, least sum of shared places) by the true neighbours of the sample among all rows."""
+class Nearest:
+    """The k nearest different ids of each of x's rows among all rows that are added: exact, ties by the lesser id."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int):
+        self.x, self.ids, self.k = x, ids, k
+        self.half = (x * x).sum(1)
+        self.d, self.o = np.full((len(x), k), np.inf), np.zeros((len(x), k), dtype=np.int64)
+
+    def add(self, y: np.ndarray, theirs: np.ndarray) -> None:
+        by = np.argsort(theirs, kind="stable")
+        y, theirs = y[by], theirs[by]
+        starts = np.flatnonzero(np.concatenate([[True], theirs[1:] != theirs[:-1]]))
+        half = (y * y).sum(1)
+        for a in range(0, len(self.x), _ROWS):
+            b = min(a + _ROWS, len(self.x))
+            d2 = self.half[a:b, None] + half[None] - 2 * self.x[a:b] @ y.T
+            # an id's own places are left out; rounding never leaves out a pair
+            place = np.searchsorted(theirs, self.ids[a:b]), np.searchsorted(theirs, self.ids[a:b], side="right")
+            for r in np.flatnonzero(place[1] > place[0]):
+                d2[r, place[0][r] : place[1][r]] = np.inf
+            bound = self.d[a:b, -1] ** 2
+            if not np.isfinite(bound).all() and len(starts) > self.k:
+                least = np.minimum.reduceat(d2, starts, axis=1) if len(starts) < len(y) else d2
+                bound = np.minimum(bound, np.partition(least, self.k - 1, axis=1)[:, self.k - 1])
+            slack = 1e-9 * (self.half[a:b] + half.max())
+            i, j = np.nonzero((d2 <= (bound + slack)[:, None]) & (d2 < np.inf))
+            if not len(i):
+                continue
+            rows = np.unique(i)
+            old_i, old_k = np.nonzero(np.isfinite(self.d[a:b][rows]))
+            old_i = rows[old_i]
+            q = np.concatenate([old_i, i])
+            old = np.searchsorted(rows, old_i)
+            o = np.concatenate([self.o[a:b][rows][old, old_k], theirs[j]])
+            d = np.concatenate([self.d[a:b][rows][old, old_k], distances(self.x[a:b], y, i, j)])
+            keep = best(q, o, d, self.k)
+            q, o, d = q[keep], o[keep], d[keep]
+            at = np.arange(len(q)) - np.searchsorted(q, q)
+            self.d[a + q, at], self.o[a + q, at] = d, o
+
+
+def exact(rows: DataFrame, x: np.ndarray, ids: np.ndarray, dim: int, k: int) -> DataFrame:
+    """(vec_id, o, d): the k nearest of the vectors x in each partition of rows, and so among them those in all."""
+    shared = rows.sparkSession.sparkContext.broadcast((x, ids))
+
+    def run(batches):
+        near = Nearest(*shared.value, k)
+        for batch in batches:
+            near.add(matrix(batch.column("embedding"), dim), batch.column("vec_id").to_numpy())
+        for a in range(0, len(near.x), 10 * _ROWS):
+            d = near.d[a : a + 10 * _ROWS]
+            i, j = np.nonzero(np.isfinite(d))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ids[a + i]), pa.array(near.o[a + i, j]), pa.array(d[i, j])], ["vec_id", "o", "d"])
+
+    return map_batches(rows.select("vec_id", "embedding"), run, "vec_id long, o long, d double")
+
+
+def trusted(kth: np.ndarray, recall: np.ndarray) -> float:
+    """The distance up to which a vector's k-th neighbour by the index is believed.
+
+    In order of the true k-th distance, up to the first sampled row that the index mostly misses or the first window that it serves badly.
+    """
+    by = np.argsort(kth, kind="stable")
+    kth, recall = kth[by], recall[by]
+    bad = recall < 0.5
+    if len(recall) >= _WINDOW:
+        means = np.convolve(recall, np.ones(_WINDOW) / _WINDOW, mode="valid")
+        low = np.flatnonzero(means < SERVED)
+        if len(low):
+            bad[low[0] :] = True
+    first = int(np.argmax(bad)) if bad.any() else len(bad)
+    return float(kth[first - 1]) if first else -1.0
+
+
+def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sample_prefix: np.ndarray, dim: int, k: int, target: float) -> tuple[int, int, float]:
+    """(s, least sum of shared places, distance up to which rows are trusted) by the true neighbours of the sample among all rows."""
     size = sample_prefix.shape[1]
     shared = placed.sparkSession.sparkContext.broadcast((sample, sample_ids, sample_prefix))
 
@@ -133,11 +218,14 @@ def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sam
     near = map_batches(placed.select("vec_id", "embedding", "prefix"), run, "q int, o long, d double, s int, places int")
     near = near.groupBy("q", "o").agg(F.min(F.struct("d", "s", "places")).alias("n"))
     nearest = F.slice(F.array_sort(F.collect_list("n")), 1, k)
-    true = near.groupBy("q").agg(nearest.alias("n")).select(F.explode("n").alias("n")).select("n.s", "n.places").collect()
+    true = near.groupBy("q").agg(nearest.alias("n")).collect()
     if not true:
-        return size, 0
-    s, places = np.array([r["s"] for r in true]), np.array([r["places"] for r in true])
-    return int(min(size, np.quantile(s, target, method="higher"))), int(np.quantile(places, 1 - target, method="lower"))
+        return size, 0, -1.0
+    pairs = [np.array([[p["d"], p["s"], p["places"]] for p in r["n"]]) for r in true]
+    flat = np.concatenate(pairs)
+    s, limit = int(min(size, np.quantile(flat[:, 1], target, method="higher"))), int(np.quantile(flat[:, 2], 1 - target, method="lower"))
+    recall = np.array([((p[:, 1] <= s) & (p[:, 2] >= limit)).mean() for p in pairs])
+    return s, limit, trusted(np.sqrt([p[:, 0].max() for p in pairs]), recall)
 
 
 def neighbors(vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int = SAMPLE, target: float = TARGET, tile: int = TILE) -> DataFrame:
@@ -148,7 +236,7 @@ def neighbors(vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int
     if top is None or top["count"] < 2:
         return nothing
     dim, n = top["size"], top["count"]
-    fine = fine.where(F.size("embedding") == dim)
+    fine = cut(fine.where(F.size("embedding") == dim))
     m = int(min(n, max(2 * prefix, n // PER_PIVOT), PIVOT_BYTES // (8 * dim)))
     size = min(prefix, m)
     draw = F.xxhash64("vec_id", F.lit(5))
@@ -166,7 +254,7 @@ def neighbors(vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists], ["vec_id", "embedding", "prefix"])
 
     placed = cut(map_batches(fine, place, "vec_id long, embedding array<double>, prefix array<int>"))
-    s, limit = calibrate(placed, x, ids, prefixes(x, pivots, size), dim, k, target)
+    s, limit, trust = calibrate(placed, x, ids, prefixes(x, pivots, size), dim, k, target)
     posted = placed.select("*", F.explode(F.slice("prefix", 1, s)).alias("pivot"))
     tiles = cut(posted.groupBy("pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
     pairs = tiles.select("pivot", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("pivot", "t", F.explode(F.sequence(F.col("t"), F.col("tiles") - 1)).alias("u"))
@@ -201,8 +289,22 @@ def neighbors(vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int
     found = work.groupBy("job").applyInArrow(run, "vec_id long, near array<struct<d:double,o:long>>")
     # the same neighbour can come from several files; a vec_id with several places counts at its nearest
     each = found.select("vec_id", F.explode("near").alias("n")).groupBy("vec_id", "n.o").agg(F.min("n.d").alias("d"))
-    merged = each.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "o"))), 1, k).alias("near"))
-    return merged.select("vec_id", F.posexplode("near").alias("at", "n")).select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.o").alias("neighbor_id"), F.col("n.d").alias("distance"))
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("d", "o"))), 1, k)
+    merged = cut(each.groupBy("vec_id").agg(nearest.alias("near")))
+    # rows that the index leaves with fewer than k neighbours, or that lie less densely than it was found to serve, are compared with all
+    served = merged.where((F.size("near") == k) & (F.element_at("near", -1)["d"] <= trust))
+    doubtful = cut(fine.join(served.select("vec_id"), "vec_id", "left_anti"))
+    rest = doubtful.count()
+    parts = max(1, -(-rest * (8 * dim + 16 * k) // EXACT_BYTES))
+    part = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(7)), F.lit(parts))
+    near = []
+    for own in (doubtful.where(part == p).select("vec_id", "embedding").toArrow() for p in range(parts if rest else 0)):
+        if own.num_rows:
+            near.append(exact(fine, matrix(own.column("embedding").combine_chunks(), dim), own.column("vec_id").to_numpy(), dim, k))
+    if near:
+        each = functools.reduce(DataFrame.unionByName, near).groupBy("vec_id", "o").agg(F.min("d").alias("d"))
+        served = served.unionByName(each.groupBy("vec_id").agg(nearest.alias("near")))
+    return served.select("vec_id", F.posexplode("near").alias("at", "n")).select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.o").alias("neighbor_id"), F.col("n.d").alias("distance"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

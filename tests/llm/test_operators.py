@@ -159,6 +159,17 @@ def true_neighbors(x, k):
     return np.sort(d, axis=1)[:, :k]
 
 
+def test_nearest_neighbors_of_spread_rows(spark):
+    g = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(g.normal(size=(98, 32)), 20, axis=0) + g.normal(size=(1960, 32)) * 0.01, g.normal(size=(40, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = permutation.neighbors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    true = true_neighbors(x, permutation.K)
+    spread = [r for r in got if r.vec_id >= 1960]
+    assert len(spread) == 40 * permutation.K and sum(r.distance <= true[r.vec_id, -1] + 1e-9 for r in spread) >= 0.9 * len(spread)
+    assert sum(r.distance <= true[r.vec_id, -1] + 1e-9 for r in got) >= 0.9 * len(x) * permutation.K
+
+
 def test_nearest_neighbors_are_different_ids(spark):
     g = np.random.default_rng(9)
     x = g.normal(size=(300, 16))
