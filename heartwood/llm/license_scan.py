@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
-Every sentence of a text is normalised (lower case, anything but letters,
-digits and + becomes one blank) and looked up among known licence sentences.
+A text is normalised as a whole (lower case, anything but letters, digits and
++ becomes one blank, so that wrapped lines and comment marks don't matter), and
+known licence sentences are looked for in it from left to right, the longest
+first, also inside of longer sentences.
 The identifiers found, in their order, form a sequence; the rules, longest
 and most specific first, replace every run of identifiers that they describe
 by their licence, so that a shorter rule never claims a part of a longer one.
@@ -18,6 +20,8 @@ give a row each; only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,13 +91,23 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 KEYS = ("licens", "software", "redistribution", "rights", "warrant")
 
 
+def _pattern() -> str:
+    """Any known sentence between blanks, the longest first; alternatives share their first word."""
+    by: dict[str, list[str]] = {}
+    for v in SENTENCES.values():
+        for x in v:
+            first, _, rest = x.partition(" ")
+            by.setdefault(first, []).append(rest)
+    known = "|".join(f"{w} (?:{'|'.join(re.escape(x).replace(chr(92) + ' ', ' ') for x in sorted(set(rest), key=lambda x: (-len(x), x)))})" for w, rest in sorted(by.items()))
+    return f"(?<= )({known})(?= )"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     rows = id_text(docs)
     low = F.lower(F.coalesce("text", F.lit("")))
-    marked = F.regexp_replace(low, "([.!?])[ \\t\\n\\x0B\\f\\r]+", "$1\n")
-    sentences = F.transform(F.split(marked, "\n", -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9+]+", " ")))
+    words = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9+]+", " "), F.lit(" "))
     known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for s in v for x in (s, k)])
-    ids = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    ids = F.transform(F.regexp_extract_all(words, F.lit(_pattern()), F.lit(1)), lambda s: F.element_at(known, s))
     maybe = F.lit(False)
     for k in KEYS:
         maybe = maybe | F.contains(low, F.lit(k))

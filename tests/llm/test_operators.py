@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -296,6 +297,19 @@ def test_license_rules(spark):
     assert got[1].sequence == "<=>" and got[1].n_sentences == 4
 
 
+MIT_TEXT = "MIT License\n\nCopyright (c) 2020 Jo Doe\n\n" + 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+BSD_TEXT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+GPL_TEXT = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+APACHE_TEXT = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+
+
+def test_license_texts_that_are_wrapped(spark):
+    wrapped = {k: "\n".join(f" * {line}".rstrip() for part in x.split("\n") for line in textwrap.wrap(part, 75) or [""]) for k, x in enumerate((MIT_TEXT, BSD_TEXT, GPL_TEXT, APACHE_TEXT))}
+    texts = wrapped | {4: "Foo is released under the MIT license and comes with a manual.", 5: "Submit licenses; a permit license matters."}
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [got[k].licenses for k in range(6)] == ["MIT", "BSD-3-Clause", "GPL-3.0-or-later", "Apache-2.0", "MIT", ""]
+
+
 def test_language_id(spark, odd):
     r = random.Random(9)
     train = frame(spark, [(k, prose(r, lang, 100), lang, "s") for k in range(120) for lang in ["en", "de"]])
