@@ -44,9 +44,14 @@ GENERATORS = (
     ("CARD", re.compile(r"(?<![\w])\d(?:[ -]?\d){11,18}(?!\w)")),
     ("ACCOUNT", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("SSN", re.compile(r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])")),
-    ("SECRET", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{4,512})")),
-    ("SECRET", re.compile(r"(?<![\w+/-])(?=[A-Za-z_+/=-]{0,80}\d)[A-Za-z0-9_+/=-]{20,512}(?![\w+/=-])")),
+    ("SECRET", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{4,}+)")),
+    ("SECRET", re.compile(r"[A-Za-z0-9_+/=-]{20,}+")),
 )
+#: Of the last generator: where in a run it can begin, and the digit that it must have soon.
+_RUN = len(GENERATORS) - 1
+_BEGIN = re.compile(r"(?<![\w+/-])(?=[A-Za-z_+/=-]{0,80}\d)")
+_MARK = re.compile("=")
+_WORD = re.compile(r"\w")
 #: Texts without any of these can't hold a candidate.
 TRIGGER = r"[0-9@]|(?i:token|secret|passw|pwd|key)"
 _NEAR = (
@@ -62,12 +67,23 @@ _NEAR = (
 )
 
 
+def _begin(text: str, start: int, end: int) -> int:
+    """Where a run's candidate begins, at the run's own start or after a =; end if nowhere, or if a word goes on after the run."""
+    if _WORD.match(text, end):
+        return end
+    if _BEGIN.match(text, start):
+        return start
+    return next((m.end() for m in _MARK.finditer(text, start, end - 20) if _BEGIN.match(text, m.end())), end)
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, generator) of every proposed span."""
     found = []
     for k, (_, pattern) in enumerate(GENERATORS):
         for m in pattern.finditer(text):
             start, end = m.span(1 if pattern.groups else 0)
+            if k == _RUN:
+                start = _begin(text, start, end)
             while end > start and text[end - 1] in ".,;:-":
                 end -= 1
             if end > start:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -259,6 +260,29 @@ def test_pii_spans():
     assert pii.redact(texts[0], spans[0]) == "mail [EMAIL] now"
 
 
+def test_pii_long_secrets_are_redacted_to_their_end():
+    r = random.Random(12)
+    for n in (300, 513, 600, 1600, 20_000):
+        key = pii._from(r, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", n)
+        for text in (f'token = "{key}" ok', f"the key {key} ok", f"api_key={key}"):
+            assert key in {text[a:b].removeprefix("api_key=") for a, b, _ in pii.candidates(text)}
+            out = pii.redact(text, pii.spans_of([text], *pii.model())[0])
+            assert not any(key[k : k + 12] in out for k in range(0, n - 12, 7)) and len(out) < 40
+    began = time.monotonic()
+    pii.candidates("=1" * 200_000 + "\u00e9 " + "a" * 400_000 + " " + "=a" * 200_000)
+    assert time.monotonic() - began < 20
+
+
+def test_pii_runs_match_the_expression_without_a_cap():
+    r = random.Random(13)
+    whole = re.compile(r"(?<![\w+/-])(?=[A-Za-z_+/=-]{0,80}\d)[A-Za-z0-9_+/=-]{20,}(?![\w+/=-])")
+    for _ in range(2000):
+        text = "".join(r.choices(["abcdefghij", "k", "=", "1", "+", " ", "\u00e9", "a" * 30, "."], weights=[6, 6, 4, 1, 1, 1, 1, 1, 1], k=40))
+        want = [m.span() for m in whole.finditer(text)]
+        got = [(a, b) for a, b, k in pii.candidates(text) if k == len(pii.GENERATORS) - 1]
+        assert [a for a, _ in got] == [a for a, _ in want]
+
+
 def test_pii_held_out():
     r = random.Random(99)
     hit = total = false = clean = 0
