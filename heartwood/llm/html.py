@@ -37,6 +37,10 @@ TOKEN = re.compile(
     r"|[^<]++|<",
     re.S | re.I,
 )
+#: Start of a tag that TOKEN took for text, its values or parts being beyond TOKEN's bounds.
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_RAW = re.compile(r"<(script|style|noscript|template|textarea|svg|title)\b", re.I)
+_SPECIAL = re.compile("[>\"']")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Pages as (words, link density, content?) of their blocks, labelled by hand.
 LABELLED = [
@@ -107,12 +111,65 @@ def tree() -> Tree:
     return Tree(x, np.array([b[2] for p in LABELLED for b in p], dtype=float))
 
 
+class Ends:
+    """Ends of tags of any length. Linear in the page: no stretch is searched twice from the same state."""
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.seen = page, set(), (0, -1)
+
+    def _special(self, at: int) -> int:
+        """The next quote or > from ``at``; the page's length if there is none."""
+        if not self.seen[0] <= at <= self.seen[1]:
+            m = _SPECIAL.search(self.page, at)
+            self.seen = at, m.start() if m else len(self.page)
+        return self.seen[1]
+
+    def of(self, at: int) -> int:
+        """The place after the tag that is open at ``at``, outside of quotes; -1 if it isn't closed."""
+        tried = []
+        while (hit := self._special(at)) < len(self.page) and hit not in self.dead:
+            if self.page[hit] == ">":
+                return hit + 1
+            tried.append(hit)
+            at = self.page.find(self.page[hit], hit + 1) + 1
+            if not at:
+                break
+        self.dead.update(tried)
+        return -1
+
+
+def tokens(page: str):
+    """(match, kind, name, closing?, raw text) of each token: kinds as in TOKEN, None for text, comments and declarations."""
+    at, ends = 0, None
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        start, at = at, m.end()
+        kind = m.lastindex
+        if kind == 2:
+            yield m, 2, m.group(1), "", m.group(2)
+        elif kind is not None:
+            yield m, kind, m.group(4), m.group(3), ""
+        elif at == start + 1 and page[start] == "<" and (tag := _OPEN.match(page, start)):
+            ends = ends or Ends(page)
+            end = ends.of(tag.end())
+            if end < 0:
+                yield m, None, "", "", ""
+            elif raw := _RAW.match(page, start):
+                close = re.compile(rf"</{raw.group(1)}\s*>", re.I).search(page, end)
+                at = close.end() if close else len(page)
+                yield m, 2, raw.group(1), "", page[end : close.start() if close else len(page)]
+            else:
+                at = end
+                yield m, 4, tag.group(2), tag.group(1), ""
+        else:
+            yield m, None, "", "", ""
+
+
 def blocks(page: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The title, and (text, words, words inside links) of each block."""
     out: list[tuple[str, int, int]] = []
     title, parts, linked, link, head = "", [], 0, 0, False
-    for m in TOKEN.finditer(page):
-        kind = m.lastindex
+    for m, kind, name, closing, raw in tokens(page):
         if kind is None:
             token = m.group()
             if token[0] == "<" and len(token) > 1 or head:
@@ -123,18 +180,18 @@ def blocks(page: str) -> tuple[str, list[tuple[str, int, int]]]:
                 linked += len(text.split())
             continue
         if kind == 2:
-            if m.group(1).lower() == "title" and not title:
-                title = " ".join(entities.unescape(m.group(2)).split())
+            if name.lower() == "title" and not title:
+                title = " ".join(entities.unescape(raw).split())
             continue
-        name = m.group(4).lower()
+        name = name.lower()
         if name in INLINE:
             if name == "a":
-                link = 0 if m.group(3) else 1
+                link = 0 if closing else 1
             elif name == "br":
                 parts.append(" ")
             continue
         if name == "head":
-            head = not m.group(3)
+            head = not closing
         elif name == "body":
             head = False
         if parts:

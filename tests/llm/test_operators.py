@@ -308,6 +308,20 @@ def test_html_blocks():
     assert html.extract_batch(["", "<<<>", "<!-- open", "a < b"])[1] == [0, html.extract_batch(["<<<>"])[1][0], 0, 1]
 
 
+def test_html_attributes_of_any_length():
+    long = "a > b 'x' " * 3000
+    page = lambda v: f'<html><head><title data-x="{v}">T</title></head><body><p>one two</p><img src="{v}"><div data-props="{v}">three <a href="{v}">four</a></div><script x="{v}">var y = "<p>no</p>";</script><svg d="{v}"><text>no</text></svg><p {"x=1 " * 5}>five</p></body></html>'
+    assert html.blocks(page(long)) == html.blocks(page("v")) == ("T", [("one two", 2, 0), ("three four", 2, 1), ("five", 1, 0)])
+    assert html.blocks("<p " + "a='b' " * 1000 + ">text</p>") == ("", [("text", 1, 0)])
+    assert html.blocks('<p>x</p><b title="' + "y" * 9000)[1][0] == ("x", 1, 0)
+    began = time.monotonic()
+    for tail in ('"', "'\"", ""):
+        html.Ends("").of(0)
+        ends = html.Ends("<a b='c\" d" * 50_000 + tail)
+        assert all(ends.of(k) >= -1 for k in range(0, len(ends.page), 11))
+    assert time.monotonic() - began < 10
+
+
 def test_html_nulls(spark):
     got = html.extract(spark.createDataFrame([(1, None), (2, ""), (None, "<p>x</p>"), (3, "<p>" + "long " * 300_000)], "page_id long, html string")).collect()
     assert {x.page_id: (x.title, x.n_blocks) for x in got} == {1: ("", 0), 2: ("", 0), None: ("", 1), 3: ("", 1)}
