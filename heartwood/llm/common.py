@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,26 @@ M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset a local master, as in tests, gets a temporary one; on a cluster it is an error."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heartwood-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="heartwood-checkpoint-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
-    return path
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written below the shared one."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids that are broadcast at most (some 50 MB); more are joined by a shuffle, with the same result.
+BROADCAST_IDS = 1_000_000
+
+
+def checked(ids: DataFrame, n: int) -> DataFrame:
+    """``ids``, a table of n narrow rows: marked for broadcast if that is within the bound."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
 #: What a reused Python worker keeps for its later tasks, by operator.
 KEPT: dict[str, object] = {}
 
@@ -170,12 +193,40 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.selectExpr("v AS n", "u AS m")
         small = down.join(least(down), "n").selectExpr("root AS u", "m AS v").where("u <> v")
         e = cut(small.select(lo, hi).unionByName(least(down).selectExpr("root AS u", "n AS v")).distinct())
-        now = e.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.hash("u", "v").cast("long"))).first()
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()  # no sum: ids may be any 64-bit numbers
         if now == before:
             return e.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
         before = now
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores before it as make it no column of the frames, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def forest(pairs: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """(k, 2) links between 0..n-1 that connect what the pairs connect: n - 1 at most, however many pairs there are."""
+    root = np.arange(n)
+    kept = [np.zeros((0, 2), dtype=np.int64)]
+    for x, y in pairs:
+        x, y = root[x], root[y]
+        while (apart := x != y).any():
+            x, y = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+            order = np.lexsort((x, y))
+            x, y = x[order], y[order]
+            first = np.ones(len(y), dtype=bool)
+            first[1:] = y[1:] != y[:-1]
+            kept.append(np.stack([x[first], y[first]], axis=1))
+            root[y[first]] = x[first]
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+            x, y = root[x], root[y]
+    return np.concatenate(kept)
+
+
 class Probe:
     """A map from 64-bit keys to numbers, looked up for whole arrays: open addressing by the mixed key's leading bits."""
 

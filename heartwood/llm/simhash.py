@@ -19,7 +19,7 @@ Defined results:
   number of different words; groups are the connected components;
 - null, empty or wordless texts have no fingerprint and are groups of one;
 - rows with the same doc_id are one document, of which ``stage`` keeps one row
-  (the first by text); rows with a null doc_id can't be named in a pair: they
+  (the first by a hash of its text); rows with a null doc_id can't be named in a pair: they
   aren't in ``groups``, and ``stage`` keeps all of them;
 - of each group the least doc_id stays; other columns, whatever their names,
   are never read.
@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import as_string, connected, cut, encode_words, id_text, map_batches, ragged, slices, split_words
+from heartwood.llm.common import as_string, checked, connected, cut, encode_words, forest, id_text, map_batches, ragged, slices, split_words, unused
 
 BITS = 128
 MAX_BITS = 22
@@ -158,24 +158,6 @@ def close_pairs(left: np.ndarray, right: np.ndarray, ln: np.ndarray, rn: np.ndar
                     yield lo_[x[ok]], ro_[y[ok]]
 
 
-def _forest(pairs, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs: as connected as all of them, and never more than n - 1."""
-    parent = list(range(n))
-    kept = []
-    for xs, ys in pairs:
-        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            while parent[y] != y:
-                parent[y] = parent[parent[y]]
-                y = parent[y]
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                kept.append((x, y))
-    return kept
-
-
 def edges(nodes: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RATIO, tile: int = TILE) -> DataFrame:
     """(a, b): pairs of nodes that connect the same components as all pairs within the distance.
 
@@ -217,7 +199,7 @@ def edges(nodes: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RAT
             pairs = ((x, y + k) for x, y in close_pairs(f[:k], f[k:], n[:k], n[k:], max_bits, min_ratio))
         else:
             pairs = close_pairs(f, f, n, n, max_bits, min_ratio)
-        found = np.array(_forest(pairs, len(f)), dtype=np.int64).reshape(-1, 2)
+        found = forest(pairs, len(f))
         return pa.table({"a": pa.array(node[found[:, 0]]), "b": pa.array(node[found[:, 1]])})
 
     # every group is one task's work, whatever the number of bytes: spread over as many partitions as there are jobs to share
@@ -238,12 +220,20 @@ def groups(docs: DataFrame, max_bits: int = MAX_BITS, min_ratio: float = MIN_RAT
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay: one of each group, with their columns."""
-    gone = groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    key = F.col("doc_id").cast("long")
-    kept = docs.join(gone, key == F.col("__gone"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = kept.where("doc_id IS NOT NULL").withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    gone, spare, extra = (unused(x, docs) for x in ("gone", "spare", "extra"))
+    key, text = F.col("doc_id").cast("long"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
+    losers = cut(groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias(gone)))
+    kept = docs.join(checked(losers, losers.count()), key == F.col(gone), "left_anti")
+    # ids that stand on several rows, rare ones: only these rows are compared, all others stay where they are
+    twice = cut(docs.where("doc_id IS NOT NULL").groupBy(key.alias(spare)).count().where("count > 1").select(spare))
+    n = twice.count()
+    if not n:
+        return kept
+    several = checked(twice, n)
+    rows = [c for c, t in docs.dtypes if not t.startswith("map")]
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(text, F.xxhash64(*[F.col(c) for c in rows])))
+    rest = kept.join(several, key == F.col(spare), "left_semi").withColumn(extra, first).where(F.col(extra) == 1).drop(extra)
+    return kept.join(several, key == F.col(spare), "left_anti").unionByName(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
