@@ -3,7 +3,7 @@
 High-recall generators propose overlapping spans (e-mail addresses, phone
 numbers, IP addresses, card numbers, account and social numbers, secrets).
 Boosted trees score each by its format and its context; a kind's threshold is
-the lowest score, 0.5 at least, whose held-out precision is still ``PRECISION``. Accepted
+the lowest score, ``LEAST_SCORE`` at least, whose held-out precision is still ``PRECISION``. Accepted
 spans that overlap are redacted together, under the kind of the best score.
 
 The trees are trained on ``TRAIN_SPANS`` synthetic examples, drawn with a fixed
@@ -35,21 +35,24 @@ from heartwood.llm.common import id_text, map_batches, slices
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "ACCOUNT", "SSN", "SECRET")
 TRAIN_SPANS = 5000
 PRECISION = 0.98
+#: No span is redacted that the trees hold for less likely than this, however few look-alikes a kind's held-out examples had.
+LEAST_SCORE = 0.5
 _CONTEXT = 24
 GENERATORS = (
-    ("EMAIL", re.compile(r"(?<![\w.+-])[\w.+-]{1,254}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}")),
-    ("PHONE", re.compile(r"(?<![\w.])\+?\(?\d[\d() ./-]{5,24}\d(?!\w)")),
-    ("PHONE", re.compile(r"(?<![\w.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)")),
-    ("IP", re.compile(r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w])")),
-    ("CARD", re.compile(r"(?<![\w])\d(?:[ -]?\d){11,18}(?!\w)")),
-    ("ACCOUNT", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("SSN", re.compile(r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])")),
+    ("EMAIL", re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)*+")),
+    ("PHONE", re.compile(r"(?<![\w.])\+?\(?[0-9][0-9() ./-]{5,24}[0-9](?!\w)")),
+    ("PHONE", re.compile(r"(?<![\w.])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)")),
+    ("IP", re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![\w])")),
+    ("CARD", re.compile(r"(?<![\w])[0-9](?:[ -]?[0-9]){11,18}(?!\w)")),
+    ("ACCOUNT", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("SSN", re.compile(r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])")),
     ("SECRET", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{4,}+)")),
     ("SECRET", re.compile(r"[A-Za-z0-9_+/=-]{20,}+")),
 )
-#: Of the last generator: where in a run it can begin, and the digit that it must have soon.
+#: Of the last generator: where in a run it can begin, and the last digit of the run, before which it must.
 _RUN = len(GENERATORS) - 1
-_BEGIN = re.compile(r"(?<![\w+/-])(?=[A-Za-z_+/=-]{0,80}\d)")
+_BEGIN = re.compile(r"(?<![\w+/-])")
+_LAST = re.compile(r"(?:[^0-9]*+[0-9]++)++")
 _MARK = re.compile("=")
 _WORD = re.compile(r"\w")
 #: Texts without any of these can't hold a candidate.
@@ -68,12 +71,14 @@ _NEAR = (
 
 
 def _begin(text: str, start: int, end: int) -> int:
-    """Where a run's candidate begins, at the run's own start or after a =; end if nowhere, or if a word goes on after the run."""
-    if _WORD.match(text, end):
+    """Where a run's candidate begins, at the run's own start or after a =, with a digit still to come; end if nowhere, or if a word goes on after the run."""
+    digits = _LAST.match(text, start, end)
+    if digits is None or _WORD.match(text, end):
         return end
+    last = digits.end()
     if _BEGIN.match(text, start):
         return start
-    return next((m.end() for m in _MARK.finditer(text, start, end - 20) if _BEGIN.match(text, m.end())), end)
+    return next((m.end() for m in _MARK.finditer(text, start, min(last, end - 20)) if _BEGIN.match(text, m.end())), end)
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
@@ -104,7 +109,7 @@ def features(text: str, start: int, end: int, generator: int) -> list[float]:
     span = text[start:end]
     n = len(span)
     digits = "".join(c for c in span if "0" <= c <= "9")
-    groups = re.findall(r"\d+", span)
+    groups = re.findall("[0-9]+", span)
     before, after = text[max(0, start - _CONTEXT) : start], text[end : end + _CONTEXT]
     kinds = [0.0] * len(GENERATORS)
     kinds[generator] = 1.0
@@ -228,7 +233,7 @@ def model(spans: int = TRAIN_SPANS, precision: float = PRECISION) -> tuple[boost
         right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(right >= precision)
         if len(good):
-            limits[g] = min(max(score[order][good[-1]], 0.5), 0.9)  # never a span that is more likely none
+            limits[g] = max(score[order][good[-1]], LEAST_SCORE)
     return trees, limits
 
 
