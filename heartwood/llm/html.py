@@ -41,6 +41,7 @@ TOKEN = re.compile(
 _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _RAW = re.compile(r"<(script|style|noscript|template|textarea|svg|title)\b", re.I)
 _SPECIAL = re.compile("[>\"']")
+_LINK = re.compile(r"<(/?)a(?=[\s>/])", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Pages as (words, link density, content?) of their blocks, labelled by hand.
 LABELLED = [
@@ -169,6 +170,9 @@ def blocks(page: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The title, and (text, words, words inside links) of each block."""
     out: list[tuple[str, int, int]] = []
     title, parts, linked, link, head = "", [], 0, 0, False
+    marks = [(m.start(), m.group(1)) for m in _LINK.finditer(page)]
+    closed = {a[0] for a, b in zip(marks, marks[1:]) if b[1] and not a[1]}
+    across = False
     for m, kind, name, closing, raw in tokens(page):
         if kind is None:
             token = m.group()
@@ -186,7 +190,8 @@ def blocks(page: str) -> tuple[str, list[tuple[str, int, int]]]:
         name = name.lower()
         if name in INLINE:
             if name == "a":
-                link = 0 if closing else 1
+                # a link lasts until its end, also across block tags; one that is never closed lasts until the block's
+                link, across = 0 if closing else 1, m.start() in closed
             elif name == "br":
                 parts.append(" ")
             continue
@@ -199,7 +204,7 @@ def blocks(page: str) -> tuple[str, list[tuple[str, int, int]]]:
             if words:
                 out.append((" ".join(words), len(words), min(linked, len(words))))
             parts, linked = [], 0
-        link = 0
+        link = link if across else 0
     words = "".join(parts).split()
     if words:
         out.append((" ".join(words), len(words), min(linked, len(words))))
