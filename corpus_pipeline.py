@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from heartwood.llm import langid, mixing, pieces, pii, simhash
-from heartwood.llm.common import ensure_checkpoint_dir
+from heartwood.llm.common import ensure_checkpoint_dir, remove
 
 STAGES = [
     ("language id", langid.stage),
@@ -27,10 +27,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each stage's rows written to the shared folder and read again."""
+    """Applies STAGES to documents, each stage's rows written to the shared folder and read again; only the last stage's stay there."""
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove(spark, f"{base}/{k - 1}")
     return docs
