@@ -1,31 +1,36 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its ``PREFIX`` nearest pivots in order. Every pivot
-has an inverted file: the vectors that have it among their first ``s`` pivots.
-Within an inverted file all vectors are queries and all are answers: their
-footrule distance (the sum of the differences of the pivots' places, a pivot
-beyond the prefix being at place PREFIX) is added up from the pivots that they
-share, those close enough by it are reranked by the Euclidean distance, and
-the ``K`` best of each file are merged for each vector.
-
-``s`` and the footrule limit are calibrated at every size: ``SAMPLE`` rows are
+A vector is represented by its ``PREFIX`` nearest pivots in order, and posted
+with them in the inverted file of its first pivot. A query looks into the files
+of its ``s`` nearest pivots; there, rows are ranked by the footrule distance of
+the two prefixes (the sum of the differences of the pivots' places, a pivot
+beyond the prefix being at place PREFIX), those within a limit are reranked by
+the Euclidean distance, and the ``K`` best of each file are merged for each
+query. Every row is posted, each once.
+
+``s`` and the limit are calibrated at every size: ``SAMPLE`` queries are
 compared with all rows exactly, and both are set so that ``TARGET`` of their
-true neighbours meet in a file, and as many pass the limit. Both suit the dense
-rows, so what the index finds is taken over only for a vector with ``K``
-neighbours that lie as densely as sampled rows which it served well; all other
-vectors are compared with every row exactly. The files are cut
-into tiles, so that one of a crowded pivot is the work of many tasks; pivots
-grow with the table up to ``PIVOT_BYTES``, the size of what is broadcast.
+true neighbours' files are visited, and as many pass the limit. What the index
+finds is taken over only for a query with ``K`` neighbours that lie as densely
+as those of sampled queries which it served well; all other queries are
+compared with every row, exactly and in blocks.
 
-Result: (vec_id, rank, neighbor_id, distance), up to K rows for each vec_id,
-ranked by distance and then neighbor_id.
+Files hold tiles of ``TILE`` rows and ``TILE`` queries, so that one of a crowded
+pivot is the work of many tasks. There are twice as many pivots as the square
+root of the rows, so the work of placing a row and the length of a file both
+grow with that root; pivots are broadcast in parts of ``PIVOT_BYTES`` at most,
+each part in a pass of its own, with the same result for any number of parts.
+
+Result: (vec_id, rank, neighbor_id, distance), up to K rows for each query,
+ranked by distance and then neighbor_id. The registered query asks for every
+row whose vec_id is divisible by ``EVERY``, against all rows.
 
 Defined results: null and empty vectors, those with a null, NaN or infinite
 part, and those whose length isn't the most common one (the greatest, at a
 tie) have no neighbours and are nobody's; rows with a null vec_id are left
 out; rows with the same vec_id are one vector with several places and never
-each other's neighbours; an empty table gives an empty result; only vec_id
-and embedding are read.
+each other's neighbours; an empty table, or no query, gives an empty result;
+only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -41,58 +46,66 @@ from heartwood.llm.common import cut, map_batches
 from heartwood.llm.ego import matrix, usable
 
 K = 10
-PREFIX = 64
+EVERY = 100
+PREFIX = 32
 SAMPLE = 200
 TARGET = 0.975
-#: Rows of the table for each pivot, and the most bytes that all pivots may take.
-PER_PIVOT = 50
+#: Most bytes of pivots that are broadcast at once.
 PIVOT_BYTES = 64 << 20
-#: Rows of a tile; a pair of tiles is compared at once.
-TILE = 2_048
-_PAIRS = 100_000
-#: Least recall of the index, on any window of sampled rows of similar density, for its rows to be taken over.
+#: Rows and queries of a tile; a tile of one with a tile of the other is compared at once.
+TILE = 4_096
+#: Least recall of the index, on any window of sampled queries of similar density, for its rows to be taken over.
 SERVED = 0.9
 _WINDOW = 20
-#: Bytes of vectors that are broadcast at once for the exact pass, and rows compared at once.
+#: Bytes of queries that are broadcast at once for the exact pass, and rows compared at once.
 EXACT_BYTES = 32 << 20
 _ROWS = 256
 
 
-def prefixes(x: np.ndarray, pivots: np.ndarray, size: int) -> np.ndarray:
-    """(n, size): the nearest pivots of each row, nearest first; ties by number."""
-    out = np.empty((len(x), size), dtype=np.int32)
+@functools.cache
+def _offsets(size: int) -> np.ndarray:
+    return size - np.arange(size, dtype=np.int16)
+
+
+def prefixes(x: np.ndarray, pivots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, size) numbers of the nearest pivots of each row, nearest first, ties by number; and what orders them."""
+    out, score = np.empty((len(x), size), dtype=np.int32), np.empty((len(x), size))
     half = (pivots * pivots).sum(1) / 2
     for k in range(0, len(x), 1024):
         d = half[None] - x[k : k + 1024] @ pivots.T
         near = np.sort(np.argpartition(d, size - 1, axis=1)[:, :size], axis=1) if size < len(pivots) else np.tile(np.arange(size), (len(d), 1))
-        out[k : k + 1024] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-    return out
+        by = np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable")
+        out[k : k + 1024] = np.take_along_axis(near, by, 1)
+        score[k : k + 1024] = np.take_along_axis(d, out[k : k + 1024], 1)
+    return out, score
+
+
+def merged(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivots of two disjoint sets of them."""
+    p, d = (np.concatenate(x, axis=1) for x in zip(old, new, strict=True))
+    by = np.lexsort((p, d))[:, :size]
+    return np.take_along_axis(p, by, 1), np.take_along_axis(d, by, 1)
 
 
-def shared_places(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def shared_places(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(n, m): sums over shared pivots of the lesser of both's nearness; the footrule distance is size * (size + 1) less twice this."""
-    size = left.shape[1]
-    out = np.zeros((len(left), len(right)), dtype=np.int16)
-
-    def files(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = p.ravel()
-        by = np.argsort(flat, kind="stable")
-        return flat[by], (by // size).astype(np.int64), (size - by % size).astype(np.int16)
-
-    lp, lrow, lnear = files(left)
-    rp, rrow, rnear = files(right)
-    both = np.intersect1d(lp, rp)
-    for a, b, c, d in zip(np.searchsorted(lp, both), np.searchsorted(lp, both, side="right"), np.searchsorted(rp, both), np.searchsorted(rp, both, side="right"), strict=True):
-        out[lrow[a:b, None], rrow[None, c:d]] += np.minimum(lnear[a:b, None], rnear[None, c:d])
+    size = queries.shape[1]
+    known, at = np.unique(rows, return_inverse=True)
+    near = np.zeros((len(queries), len(known) + 1), dtype=np.int16)
+    place = np.minimum(np.searchsorted(known, queries), len(known) - 1)
+    place = np.where(known[place] == queries, place, len(known))
+    np.put_along_axis(near, place, _offsets(size)[None], axis=1)
+    near[:, -1] = 0
+    out = np.zeros((len(queries), len(rows)), dtype=np.int32)
+    at = at.reshape(rows.shape)
+    for k in range(size):
+        out += np.minimum(near[:, at[:, k]], size - k)
     return out
 
 
-def distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    out = np.empty(len(i))
-    for k in range(0, len(i), _PAIRS):
-        gap = x[i[k : k + _PAIRS]] - y[j[k : k + _PAIRS]]
-        out[k : k + _PAIRS] = np.sqrt((gap * gap).sum(1))
-    return out
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    gap = x - y
+    return np.sqrt((gap * gap).sum(-1))
 
 
 def best(q: np.ndarray, o: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
@@ -117,7 +130,8 @@ class Nearest:
         self.half = (x * x).sum(1)
         self.d, self.o = np.full((len(x), k), np.inf), np.zeros((len(x), k), dtype=np.int64)
 
-    def add(self, y: np.ndarray, theirs: np.ndarray) -> None:
+    def add(self, y: np.ndarray, theirs: np.ndarray, allowed=None) -> None:
+        """``allowed(a, b)``: which of the rows may be neighbours of x[a:b]; all of them if that isn't given."""
         by = np.argsort(theirs, kind="stable")
         y, theirs = y[by], theirs[by]
         starts = np.flatnonzero(np.concatenate([[True], theirs[1:] != theirs[:-1]]))
@@ -125,6 +139,8 @@ class Nearest:
         for a in range(0, len(self.x), _ROWS):
             b = min(a + _ROWS, len(self.x))
             d2 = self.half[a:b, None] + half[None] - 2 * self.x[a:b] @ y.T
+            if allowed is not None:
+                d2[~allowed(a, b)[:, by]] = np.inf
             # an id's own places are left out; rounding never leaves out a pair
             place = np.searchsorted(theirs, self.ids[a:b]), np.searchsorted(theirs, self.ids[a:b], side="right")
             for r in np.flatnonzero(place[1] > place[0]):
@@ -143,7 +159,7 @@ class Nearest:
             q = np.concatenate([old_i, i])
             old = np.searchsorted(rows, old_i)
             o = np.concatenate([self.o[a:b][rows][old, old_k], theirs[j]])
-            d = np.concatenate([self.d[a:b][rows][old, old_k], distances(self.x[a:b], y, i, j)])
+            d = np.concatenate([self.d[a:b][rows][old, old_k], distances(self.x[a:b][i], y[j])])
             keep = best(q, o, d, self.k)
             q, o, d = q[keep], o[keep], d[keep]
             at = np.arange(len(q)) - np.searchsorted(q, q)
@@ -183,31 +199,29 @@ def trusted(kth: np.ndarray, recall: np.ndarray) -> float:
     return float(kth[first - 1]) if first else -1.0
 
 
-def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sample_prefix: np.ndarray, dim: int, k: int, target: float) -> tuple[int, int, float]:
-    """(s, least sum of shared places, distance up to which rows are trusted) by the true neighbours of the sample among all rows."""
-    size = sample_prefix.shape[1]
-    shared = placed.sparkSession.sparkContext.broadcast((sample, sample_ids, sample_prefix))
+def calibrate(placed: DataFrame, x: np.ndarray, ids: np.ndarray, order: np.ndarray, size: int, dim: int, k: int, target: float) -> tuple[int, int, float]:
+    """(files to visit, least sum of shared places, distance up to which queries are trusted) by the true neighbours of sampled queries among all rows.
+
+    order: all pivots for each of the queries, nearest first.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast((x, ids, np.argsort(order, axis=1), np.ascontiguousarray(order[:, :size])))
 
     def run(batches):
-        x, ids, prefix = shared.value
+        x, ids, place, prefix = shared.value
         held: list[np.ndarray] = [np.zeros((0, 5))]
+        half = (x * x).sum(1)
         for batch in batches:
             y, theirs = matrix(batch.column("embedding"), dim), batch.column("vec_id").to_numpy()
             yp = batch.column("prefix").flatten().to_numpy().reshape(-1, size)
-            d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+            d2 = half[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
             d2[ids[:, None] == theirs[None]] = np.inf
             by = np.argsort(theirs, kind="stable")
             starts = np.flatnonzero(np.concatenate([[True], theirs[by][1:] != theirs[by][:-1]]))
             least = np.minimum.reduceat(d2[:, by], starts, axis=1) if len(starts) < len(y) else d2
             limit = np.partition(least, min(k, len(starts)) - 1, axis=1)[:, min(k, len(starts)) - 1]
             i, j = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
-            a, b = prefix[i], yp[j]
-            same = a[:, :, None] == b[:, None, :]
-            row, pa_, pb_ = np.nonzero(same)
-            s = np.full(len(i), size + 1)
-            np.minimum.at(s, row, np.maximum(pa_, pb_) + 1)
-            places = np.bincount(row, size - np.maximum(pa_, pb_), minlength=len(i))
-            held.append(np.stack([i, theirs[j], np.maximum(d2[i, j], 0), s, places], axis=1))
+            places = np.array([shared_places(prefix[a : a + 1], yp[b : b + 1])[0, 0] for a, b in zip(i.tolist(), j.tolist(), strict=True)] if len(i) < 500 else shared_places(prefix, yp)[i, j])
+            held.append(np.stack([i, theirs[j], np.maximum(d2[i, j], 0), place[i, yp[j, 0]] + 1, places], axis=1))
             if len(held) > 8:
                 rows = np.concatenate(held)
                 held = [rows[best(rows[:, 0], rows[:, 1], rows[:, 2], k)]]
@@ -220,92 +234,95 @@ def calibrate(placed: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, sam
     nearest = F.slice(F.array_sort(F.collect_list("n")), 1, k)
     true = near.groupBy("q").agg(nearest.alias("n")).collect()
     if not true:
-        return size, 0, -1.0
+        return 1, 0, -1.0
     pairs = [np.array([[p["d"], p["s"], p["places"]] for p in r["n"]]) for r in true]
     flat = np.concatenate(pairs)
-    s, limit = int(min(size, np.quantile(flat[:, 1], target, method="higher"))), int(np.quantile(flat[:, 2], 1 - target, method="lower"))
+    s, limit = int(np.quantile(flat[:, 1], target, method="higher")), int(np.quantile(flat[:, 2], 1 - target, method="lower"))
     recall = np.array([((p[:, 1] <= s) & (p[:, 2] >= limit)).mean() for p in pairs])
     return s, limit, trusted(np.sqrt([p[:, 0].max() for p in pairs]), recall)
 
 
-def neighbors(vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int = SAMPLE, target: float = TARGET, tile: int = TILE) -> DataFrame:
+def neighbors(queries: DataFrame, vectors: DataFrame, k: int = K, prefix: int = PREFIX, sample: int = SAMPLE, target: float = TARGET, tile: int = TILE, pivot_bytes: int = PIVOT_BYTES) -> DataFrame:
+    """The k nearest different ids among ``vectors`` of every row of ``queries`` (vec_id, embedding), which may be rows of theirs or others."""
     spark = vectors.sparkSession
     nothing = spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
     fine = usable(vectors).distinct()
     top = fine.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    if top is None or top["count"] < 2:
+    if top is None:
         return nothing
     dim, n = top["size"], top["count"]
     fine = cut(fine.where(F.size("embedding") == dim))
-    m = int(min(n, max(2 * prefix, n // PER_PIVOT), PIVOT_BYTES // (8 * dim)))
+    asked = cut(usable(queries).distinct().where(F.size("embedding") == dim))
+    total = asked.count()
+    if not total:
+        return nothing
+    m = int(min(n, max(2 * prefix, np.ceil(2 * np.sqrt(n)))))
     size = min(prefix, m)
-    draw = F.xxhash64("vec_id", F.lit(5))
     # pivots and sample are drawn by the least hashes, kept up on the executors: no more than m rows reach the driver
-    rows = fine.orderBy(draw, "vec_id", "embedding").limit(m).collect()
-    pivots = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    own = fine.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id", "embedding").limit(sample).collect()
-    x, ids = np.array([r["embedding"] for r in own], dtype=np.float64), np.array([r["vec_id"] for r in own])
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def place(batches):
-        for batch in batches:
-            p = prefixes(matrix(batch.column("embedding"), dim), shared.value, size)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * size), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists], ["vec_id", "embedding", "prefix"])
-
-    placed = cut(map_batches(fine, place, "vec_id long, embedding array<double>, prefix array<int>"))
-    s, limit, trust = calibrate(placed, x, ids, prefixes(x, pivots, size), dim, k, target)
-    posted = placed.select("*", F.explode(F.slice("prefix", 1, s)).alias("pivot"))
-    tiles = cut(posted.groupBy("pivot").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
-    pairs = tiles.select("pivot", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("pivot", "t", F.explode(F.sequence(F.col("t"), F.col("tiles") - 1)).alias("u"))
-    pairs = pairs.withColumn("job", F.xxhash64("pivot", "t", "u"))
-    sides = pairs.select("job", "pivot", "t", F.lit(0).alias("side")).unionByName(pairs.where("t <> u").select("job", "pivot", F.col("u").alias("t"), F.lit(1).alias("side")))
-    cells = posted.join(tiles, "pivot").withColumn("t", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    work = cells.join(sides, ["pivot", "t"]).select("job", "side", "vec_id", "embedding", "prefix")
-
-    def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        names = group.column("vec_id").to_numpy()
-        v = matrix(group.column("embedding").combine_chunks(), dim)
-        p = group.column("prefix").combine_chunks().flatten().to_numpy().reshape(-1, size)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(right)
-        right = left if alone else right
-        i, j = np.nonzero(shared_places(p[left], p[right]) >= limit)
-        i, j = left[i], right[j]
-        if alone:
-            i, j = i[i < j], j[i < j]
-        different = names[i] != names[j]
-        i, j = i[different], j[different]
-        d = distances(v, v, i, j)
-        q, o, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-        keep = best(q, names[o], d, k)
-        q, o, d = q[keep], names[o[keep]], d[keep]
-        cuts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, dtype=np.int64)
-        near = pa.StructArray.from_arrays([pa.array(d), pa.array(o)], ["d", "o"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(q)).astype(np.int32)), near)
-        return pa.table({"vec_id": pa.array(names[q[cuts]]), "near": lists})
-
-    found = work.groupBy("job").applyInArrow(run, "vec_id long, near array<struct<d:double,o:long>>")
-    # the same neighbour can come from several files; a vec_id with several places counts at its nearest
-    each = found.select("vec_id", F.explode("near").alias("n")).groupBy("vec_id", "n.o").agg(F.min("n.d").alias("d"))
+    draw = lambda rows, salt, number: rows.orderBy(F.xxhash64("vec_id", F.lit(salt)), "vec_id", "embedding").limit(number).toArrow()
+    pivots = matrix(draw(fine, 5, m).column("embedding").combine_chunks(), dim)
+    own = draw(asked, 6, sample)
+    x, ids = matrix(own.column("embedding").combine_chunks(), dim), own.column("vec_id").to_numpy()
+    each = max(1, pivot_bytes // (8 * dim))
+    parts = [(a, spark.sparkContext.broadcast(pivots[a : a + each])) for a in range(0, m, each)]
+
+    def place(rows: DataFrame, size: int) -> DataFrame:
+        """``rows`` with the numbers of their ``size`` nearest pivots."""
+        vector = rows.schema["embedding"].dataType.simpleString()
+        out = rows.select("vec_id", "embedding", F.array().cast("array<int>").alias("prefix"), F.array().cast("array<double>").alias("score"))
+        for first, part in parts:
+
+            def run(batches, first=first, part=part):
+                for batch in batches:
+                    p, d = prefixes(matrix(batch.column("embedding"), dim), part.value, min(size, len(part.value)))
+                    p = p + np.int32(first)
+                    if first:
+                        was = [batch.column(c).flatten().to_numpy().reshape(len(p), -1) for c in ("prefix", "score")]
+                        p, d = merged((was[0], was[1]), (p, d), size)
+                    ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.ListArray.from_arrays(ends, pa.array(p.ravel().astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(d.ravel()))], ["vec_id", "embedding", "prefix", "score"])
+
+            out = map_batches(out, run, f"vec_id long, embedding {vector}, prefix array<int>, score array<double>")
+        return cut(out.drop("score"))
+
+    placed = place(fine, size)
+    s, limit, trust = calibrate(placed, x, ids, prefixes(x, pivots, m)[0], size, dim, k, target)
+    posted = placed.withColumn("file", F.element_at("prefix", 1))
+    probes = place(asked, max(s, size)).select("vec_id", "embedding", F.slice("prefix", 1, size).alias("prefix"), F.explode(F.slice("prefix", 1, s)).alias("file"))
+    tiles = lambda rows, name: rows.groupBy("file").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    sizes = cut(tiles(posted, "t").join(tiles(probes, "u"), "file"))
+    spread = lambda rows, mine, other: rows.join(sizes, "file").select("vec_id", "embedding", "prefix", "file", F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    def run(rows: pa.Table, asking: pa.Table) -> pa.Table:
+        take = lambda side: (matrix(side.column("embedding").combine_chunks(), dim), side.column("vec_id").to_numpy(), side.column("prefix").combine_chunks().flatten().to_numpy().reshape(-1, size))
+        if not rows.num_rows or not asking.num_rows:
+            return pa.table({"vec_id": pa.array([], pa.int64()), "o": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        (y, theirs, yp), (x, ids, xp) = take(rows), take(asking)
+        near = Nearest(x, ids, k)
+        near.add(y, theirs, lambda a, b: shared_places(xp[a:b], yp) >= limit)
+        i, j = np.nonzero(np.isfinite(near.d))
+        return pa.table({"vec_id": near.ids[i], "o": near.o[i, j], "d": near.d[i, j]})
+
+    jobs = spread(posted, "t", "u").groupBy("file", "t", "u").cogroup(spread(probes, "u", "t").groupBy("file", "t", "u"))
+    found = jobs.applyInArrow(run, "vec_id long, o long, d double").groupBy("vec_id", "o").agg(F.min("d").alias("d"))
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("d", "o"))), 1, k)
-    merged = cut(each.groupBy("vec_id").agg(nearest.alias("near")))
-    # rows that the index leaves with fewer than k neighbours, or that lie less densely than it was found to serve, are compared with all
-    served = merged.where((F.size("near") == k) & (F.element_at("near", -1)["d"] <= trust))
-    doubtful = cut(fine.join(served.select("vec_id"), "vec_id", "left_anti"))
+    kept = cut(found.groupBy("vec_id").agg(nearest.alias("near")))
+    # queries that the index leaves with fewer than k neighbours, or that lie less densely than it was found to serve, are compared with all rows
+    served = kept.where((F.size("near") == k) & (F.element_at("near", -1)["d"] <= trust))
+    doubtful = cut(asked.join(served.select("vec_id"), "vec_id", "left_anti"))
     rest = doubtful.count()
-    parts = max(1, -(-rest * (8 * dim + 16 * k) // EXACT_BYTES))
-    part = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(7)), F.lit(parts))
+    blocks = max(1, -(-rest * (8 * dim + 16 * k) // EXACT_BYTES))
+    block = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(7)), F.lit(blocks))
     near = []
-    for own in (doubtful.where(part == p).select("vec_id", "embedding").toArrow() for p in range(parts if rest else 0)):
+    for own in (doubtful.where(block == p).select("vec_id", "embedding").toArrow() for p in range(blocks if rest else 0)):
         if own.num_rows:
             near.append(exact(fine, matrix(own.column("embedding").combine_chunks(), dim), own.column("vec_id").to_numpy(), dim, k))
     if near:
-        each = functools.reduce(DataFrame.unionByName, near).groupBy("vec_id", "o").agg(F.min("d").alias("d"))
-        served = served.unionByName(each.groupBy("vec_id").agg(nearest.alias("near")))
+        pairs = functools.reduce(DataFrame.unionByName, near).groupBy("vec_id", "o").agg(F.min("d").alias("d"))
+        served = served.unionByName(pairs.groupBy("vec_id").agg(nearest.alias("near")))
     return served.select("vec_id", F.posexplode("near").alias("at", "n")).select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.o").alias("neighbor_id"), F.col("n.d").alias("distance"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbors(vectors.where(F.col("vec_id") % EVERY == 0), vectors)

@@ -41,9 +41,9 @@ def rows_of(df):
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     assert not rows_of(substring.repeats(none)) and not rows_of(pieces.encode(none)) and not rows_of(simhash.groups(none)) and not rows_of(pii.scan(none))
-    assert not rows_of(license_scan.scan(none)) and not rows_of(mixing.assign(none)) and not rows_of(langid.identify(none, langid.train(none)))
+    assert not rows_of(license_scan.scan(none)) and not rows_of(mixing.mixture(none)) and not rows_of(langid.identify(none, langid.train(none)))
     v = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert not rows_of(ego.groups(v)) and not rows_of(permutation.neighbors(v))
+    assert not rows_of(ego.groups(v)) and not rows_of(permutation.neighbors(v, v))
     assert not rows_of(html.extract(spark.createDataFrame([], "page_id long, html string")))
 
 
@@ -127,7 +127,13 @@ def test_embedding_dedup_matches_brute_force(spark):
         x[k + 1] = x[k] + g.normal(size=8) * 0.03
     x[7] = x[200]
     rows = [(k, [float(v) for v in x[k]]) for k in range(300)] + [(900, None), (901, []), (902, [float("nan")] * 8), (903, [1.0] * 3), (None, [0.0] * 8), (5, [float(v) for v in x[5]])]
-    got = dict(rows_of(ego.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))))
+    rows += [(10**18 * 9 + k, [float(v) for v in g.normal(size=8) * 1e9]) for k in range(3)] + [(950, [1e9] * 8), (951, [1e9] * 7 + [1e9 + 0.1]), (960, [1e200] * 8), (961, [1e200] * 8)]
+    found = rows_of(ego.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), interval=64))
+    got, links = {i: root for i, root, _ in found}, {i: n for i, _, n in found}
+    assert (got[951], got[961]) == (950, 960) and links[950] == 1 and links[960] == 0 and all(got[10**18 * 9 + k] == 10**18 * 9 + k for k in range(3))
+    for k in range(300):
+        different = {tuple(x[j]) for j in range(300) if np.sqrt(((x[k] - x[j]) ** 2).sum()) <= ego.EPS} - {tuple(x[k])}
+        assert links[k] == len(different)
     want = components(300, lambda i, j: np.sqrt(((x[i] - x[j]) ** 2).sum()) <= ego.EPS)
     assert [got[k] for k in range(300)] == want
     assert all(got[k] == k for k in range(900, 904)) and None not in got
@@ -145,7 +151,8 @@ def test_nearest_neighbors_recall(spark):
     g = np.random.default_rng(5)
     x = np.concatenate([g.normal(size=(600, 32)), np.repeat(g.normal(size=(1, 32)), 40, axis=0)])
     rows = [(k, [float(v) for v in x[k]]) for k in range(len(x))] + [(9000, None), (9001, []), (9002, [float("inf")] * 32), (None, [0.0] * 32), (3, [float(v) for v in x[3]])]
-    got = permutation.neighbors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=128).collect()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = permutation.neighbors(table, table, tile=128).collect()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     limit = np.sort(d, axis=1)[:, permutation.K - 1]
@@ -165,7 +172,8 @@ def test_nearest_neighbors_of_spread_rows(spark):
     g = np.random.default_rng(8)
     x = np.concatenate([np.repeat(g.normal(size=(98, 32)), 20, axis=0) + g.normal(size=(1960, 32)) * 0.01, g.normal(size=(40, 32))])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    got = permutation.neighbors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = permutation.neighbors(table, table).collect()
     true = true_neighbors(x, permutation.K)
     spread = [r for r in got if r.vec_id >= 1960]
     assert len(spread) == 40 * permutation.K and sum(r.distance <= true[r.vec_id, -1] + 1e-9 for r in spread) >= 0.9 * len(spread)
@@ -177,7 +185,11 @@ def test_nearest_neighbors_are_different_ids(spark):
     x = g.normal(size=(300, 16))
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
     near = [(7, (x[7] + g.normal(size=16) * 1e-4).tolist()) for _ in range(30)]  # many places of one id
-    got = permutation.neighbors(spark.createDataFrame(rows * 2 + [rows[3]] * 30 + near, "vec_id long, embedding array<double>"), tile=64).collect()
+    table = spark.createDataFrame(rows * 2 + [rows[3]] * 30 + near, "vec_id long, embedding array<double>")
+    got = permutation.neighbors(table, table, tile=64).collect()
+    assert sorted(got) == sorted(permutation.neighbors(table, table, tile=64, pivot_bytes=8 * 16 * 20).collect())  # pivots in four parts
+    others = spark.createDataFrame([(10_000 + k, (x[k] + 1e-6).tolist()) for k in range(5)], "vec_id long, embedding array<double>")
+    assert [r.neighbor_id for r in permutation.neighbors(others, table).where("rank = 1").orderBy("vec_id").collect()] == list(range(5))
     true = true_neighbors(x, permutation.K)
     assert len({(r.vec_id, r.neighbor_id) for r in got}) == len(got) == 300 * permutation.K
     assert sum(r.distance <= true[r.vec_id, -1] + 1e-2 for r in got) >= 0.9 * len(got)
@@ -205,14 +217,14 @@ def test_mixing_quotas_and_tree(spark):
     assert (s.sum(0) == [100, 50, 5]).all() and np.ptp(s.sum(1)) <= 1
     r = random.Random(7)
     docs = spark.createDataFrame([(k, r.choice("aaab"), f"t{k}") for k in range(2000)] + [(None, None, "x"), (None, None, "x")], "doc_id long, source string, text string")
-    got = mixing.assign(docs, {"a": 1.0, "b": 1.0}, block=4, shard_blocks=40, bucket_rows=100).collect()
+    got = mixing.mixture(docs, {"a": 1.0, "b": 1.0}, block=4, shard_blocks=40, bucket_rows=100).collect()
     ids = [x.doc_id for x in got]
     assert len(ids) == len(set(ids))
     n = [sum(x.source == s for x in got) for s in "ab"]
     assert abs(n[0] - n[1]) <= 8
     for k in {x.shard for x in got}:
         assert sorted(x.position for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))
-    again = mixing.assign(docs.repartition(5), {"a": 1.0, "b": 1.0}, block=4, shard_blocks=40, bucket_rows=100).collect()
+    again = mixing.mixture(docs.repartition(5), {"a": 1.0, "b": 1.0}, block=4, shard_blocks=40, bucket_rows=100).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
@@ -275,7 +287,7 @@ def test_pii_long_secrets_are_redacted_to_their_end():
 
 def test_pii_runs_match_the_expression_without_a_cap():
     r = random.Random(13)
-    whole = re.compile(r"(?<![\w+/-])(?=[A-Za-z_+/=-]{0,80}\d)[A-Za-z0-9_+/=-]{20,}(?![\w+/=-])")
+    whole = re.compile(r"(?<![\w+/-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{20,}(?![\w+/=-])")
     for _ in range(2000):
         text = "".join(r.choices(["abcdefghij", "k", "=", "1", "+", " ", "\u00e9", "a" * 30, "."], weights=[6, 6, 4, 1, 1, 1, 1, 1, 1], k=40))
         want = [m.span() for m in whole.finditer(text)]
@@ -322,6 +334,11 @@ def test_html_attributes_of_any_length():
     assert time.monotonic() - began < 10
 
 
+def test_html_links_across_blocks():
+    assert html.blocks("<a href='x'><div>one two three four</div></a><p>five</p>")[1] == [("one two three four", 4, 4), ("five", 1, 0)]
+    assert html.blocks("<p><a name='x'>one</p><p>two</p><p><a href='y'>three</a> four</p>")[1] == [("one", 1, 1), ("two", 1, 0), ("three four", 2, 1)]
+
+
 def test_html_nulls(spark):
     got = html.extract(spark.createDataFrame([(1, None), (2, ""), (None, "<p>x</p>"), (3, "<p>" + "long " * 300_000)], "page_id long, html string")).collect()
     assert {x.page_id: (x.title, x.n_blocks) for x in got} == {1: ("", 0), 2: ("", 0), None: ("", 1), 3: ("", 1)}
