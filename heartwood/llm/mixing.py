@@ -1,21 +1,25 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents are put in a random but fixed order (by hash) and cut
-into blocks of ``BLOCK`` consecutive ones, which are shared out without
-repeating any document: exact quotas of blocks for each source (largest
-remainders), split down a binary tree over the output shards,
-at each node by one multivariate hypergeometric draw, so that the quotas of
-all shards add up exactly. A scarce source never shrinks the others: it gives
-all it has, and they keep their weights among themselves (``FILL``). A shard draws its blocks, disjoint from all
-others', and shuffles their documents locally.
-
-The driver holds a number for each source and shard, never one for a document:
-ranks come from counts of hash buckets, so no source, however hot, is ordered
-in one place.
+Each source's documents are put in a random but fixed order (by a hash of id
+and text) and cut into blocks of ``BLOCK`` consecutive ones, which are shared
+out without repeating any document: exact quotas of blocks for each source
+(largest remainders), split down a binary tree over the output shards, at each
+node by one multivariate hypergeometric draw, so that the quotas of all shards
+add up exactly. A scarce source never shrinks the others: it gives all it has,
+and they keep their weights among themselves (``FILL``). A shard draws its
+blocks, disjoint from all others', and shuffles their documents locally.
+
+The driver holds one number for each source. The tree is split up on the
+executors, ``FAN`` shards to a row, and leaves for each source the ranks at
+which one shard's blocks end and the next one's begin; counts of hash buckets
+and the hashes alone, no texts, turn these ranks into places in the order. A
+document finds its shard by its own hash, so texts are moved once, straight to
+their shards, and those that no shard draws aren't moved at all.
 
 Defined results: a null source is the source ''; an empty table gives an empty
-one; repeated rows are drawn as the separate rows they are, and rows with a
-null doc_id too (ties in the order are among equal rows or go by text length);
+one; rows with a null doc_id are drawn as the separate rows they are; rows of
+one source with the same doc_id and text have one place in the order and go to
+one shard together or stay out together, so quotas can be off by their number;
 a source without a weight gets none. ``stage`` passes all columns on, whatever
 their names.
 """
@@ -25,15 +29,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heartwood.llm.common import cut
+from heartwood.llm.common import checked, cut, unused
 
 SEED = 20_24
 BLOCK = 8
 SHARD_BLOCKS = 2_500
 BUCKET_ROWS = 20_000
+#: Shards of a subtree that one row of the distributed tree splits up.
+FAN = 64
+#: Output partitions; with more shards than this, neighbouring shards share one.
+MAX_PARTITIONS = 1 << 15
 #: Without given weights a source weighs its number of documents to this power.
 TEMPERATURE = 0.5
 #: The mixture grows until sources of more weight than the rest of this would fall short of their shares.
@@ -65,10 +74,15 @@ def quotas(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
+def _divide(lo: int, hi: int, quota: np.ndarray, total: int, shards: int, seed: int) -> tuple[int, np.ndarray]:
+    """The middle of a node of the tree, and the blocks of each source that go to its left half."""
+    mid = (lo + hi) // 2
+    room = total * mid // shards - total * lo // shards
+    return mid, np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(quota, room, method="marginals")
+
+
 def split(quota: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     """(shards, sources): blocks of each source in each shard. Row sizes differ by one at most; columns add up to the quotas."""
-    total = int(quota.sum())
-    sizes = np.array([total * (k + 1) // shards - total * k // shards for k in range(shards)], dtype=np.int64)
     out = np.zeros((shards, len(quota)), dtype=np.int64)
     todo = [(0, shards, quota.astype(np.int64))]
     while todo:
@@ -76,56 +90,110 @@ def split(quota: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
         if hi - lo == 1:
             out[lo] = q
             continue
-        mid = (lo + hi) // 2
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(q, int(sizes[lo:mid].sum()), method="marginals")
+        mid, left = _divide(lo, hi, q, int(quota.sum()), shards, seed)
         todo += [(lo, mid, left), (mid, hi, q - left)]
     return out
 
 
-def mixed(rows: DataFrame, source: F.Column, key: F.Column, weights: dict[str, float] | None = None, seed: int = SEED, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``rows`` that are drawn, with the columns __source, __shard and __order."""
-    spark = rows.sparkSession
-    rows = rows.withColumns({"__source": F.coalesce(source.cast("string"), F.lit("")), "__order": F.xxhash64(F.lit(seed), key)})
-    sizes = {r[0]: r[1] for r in rows.groupBy("__source").count().collect()}
+def runs(spark: SparkSession, names: list[str], quota: np.ndarray, shards: int, seed: int = SEED) -> DataFrame:
+    """(src, block, shard): the block of a source at which a shard's run of blocks begins; shard -1 after the last."""
+    total = int(quota.sum())
+
+    def expand(batches):
+        for batch in batches:
+            for node in batch.to_pylist():
+                done: list[tuple] = []
+                todo = [(node["lo"], node["hi"], np.array(node["quota"], dtype=np.int64), np.array(node["start"], dtype=np.int64))]
+                while todo:
+                    lo, hi, q, start = todo.pop()
+                    if hi - lo == 1 or (hi - lo) * FAN <= node["hi"] - node["lo"]:
+                        done.append((lo, hi, q, start))
+                        continue
+                    mid, left = _divide(lo, hi, q, total, shards, seed)
+                    todo += [(lo, mid, left, start), (mid, hi, q - left, start + left)]
+                lists = lambda k: pa.array([x[k].tolist() for x in done], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), lists(2), lists(3)], ["lo", "hi", "quota", "start"])
+
+    schema = "lo long, hi long, quota array<long>, start array<long>"
+    nodes = spark.createDataFrame([(0, shards, quota.tolist(), [0] * len(quota))], schema)
+    width = shards
+    while width > 1:  # a root, FAN subtrees, FAN * FAN ...
+        nodes, width = nodes.mapInArrow(expand, schema), -(-width // FAN)
+        if width > 1:
+            nodes = nodes.repartition("lo")
+    at = F.posexplode(F.arrays_zip("quota", "start")).alias("j", "q")
+    source = F.element_at(F.lit(names), F.col("j") + 1) if names else F.lit("")
+    ends = spark.createDataFrame([(s, int(q), -1) for s, q in zip(names, quota, strict=True)], "src string, block long, shard long")
+    begun = nodes.select("lo", at).where("q.quota > 0").select(source.alias("src"), F.col("q.start").alias("block"), F.col("lo").alias("shard"))
+    return begun.unionByName(ends)
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, str, int]:
+    """The rows that are drawn, with one column more that holds their shard; the name of that column; and the number of shards."""
+    spark = docs.sparkSession
+    src = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    sizes = {r[0]: r[1] for r in docs.groupBy(src.alias("src")).count().collect()}
     names = sorted(sizes)
     weights = weights if weights is not None else {s: n**TEMPERATURE for s, n in sizes.items()}
     quota = quotas({s: -(-n // block) for s, n in sizes.items()}, weights)
     shards = max(1, -(-sum(quota.values()) // shard_blocks))
-    shared = split(np.array([quota[s] for s in names], dtype=np.int64), shards, seed)
-    ends = shared.cumsum(0)
-    runs = [(s, int(ends[k, j] - shared[k, j]), int(ends[k, j]), k) for j, s in enumerate(names) for k in range(shards) if shared[k, j]]
-    runs = spark.createDataFrame(runs, "__source string, first long, last long, shard int")
+    name = {c: unused(f"{c}_of_mix", docs) for c in ("src", "place", "buckets", "bucket", "cuts", "shard")}
     # the order's leading bits choose a bucket of the source; counts of the buckets before give the rank of its first row
-    buckets = spark.createDataFrame([(s, max(1, -(-n // bucket_rows))) for s, n in sizes.items()], "__source string, __buckets long")
-    rows = rows.join(buckets, "__source").withColumn("__bucket", F.shiftright(F.shiftrightunsigned("__order", 33) * F.col("__buckets"), 31)).drop("__buckets")
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = cut(rows.groupBy("__source", "__bucket").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))))
-    inside = (F.col("first") * block < F.col("offset") + F.col("count")) & (F.col("last") * block > F.col("offset"))
-    ranks = ranks.join(runs, "__source").where(inside).groupBy("__source", "__bucket", "offset").agg(F.collect_list(F.struct("first", "last", "shard")).alias("__runs"))
-    placed = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__order", *([F.length("text")] if "text" in rows.columns else []))) - 1)
-    at = F.floor((F.col("__rank") + F.col("offset")) / F.lit(block))
-    own = F.filter("__runs", lambda r: (r["first"] <= F.col("__block")) & (F.col("__block") < r["last"]))
-    drawn = placed.join(ranks, ["__source", "__bucket"]).withColumn("__block", at).withColumn("__shard", F.get(own, F.lit(0))["shard"])
-    return drawn.where("__shard IS NOT NULL").drop("__bucket", "__rank", "offset", "__runs", "__block")
-
-
-def _shuffle(key: F.Column, seed: int) -> F.Column:
-    return F.xxhash64(F.lit(seed + 1), key)
-
-
-def assign(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, **sizes: int) -> DataFrame:
-    """(doc_id, source, shard, position) of every document drawn."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    drawn = mixed(ids, F.col("source"), F.col("doc_id"), weights, seed, **sizes)
-    place = F.row_number().over(Window.partitionBy("__shard").orderBy(_shuffle(F.col("doc_id"), seed), "doc_id")) - 1
-    return drawn.select("doc_id", F.col("__source").alias("source"), F.col("__shard").alias("shard"), place.alias("position"))
+    buckets = spark.createDataFrame([(s, max(1, -(-n // bucket_rows))) for s, n in sizes.items()], f"{name['src']} string, {name['buckets']} long")
+    buckets = checked(buckets, len(sizes))
+    texts = [F.col("text")] if "text" in docs.columns else []
+    rows = docs.withColumns({name["src"]: src, name["place"]: F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), *texts)}).join(buckets, name["src"])
+    lead = F.shiftrightunsigned(name["place"], 33)
+    rows = rows.withColumn(name["bucket"], F.shiftright(lead * F.col(name["buckets"]), 31))
+    keys = rows.select(*[F.col(name[c]).alias(c) for c in ("src", "bucket", "place")]).withColumn("place", F.col("place").bitwiseXOR(F.lit(-(1 << 63))))  # in the order of its bits
+    keys = cut(keys.groupBy("src", "bucket", "place").count())
+    inside = Window.partitionBy("src", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("src").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keys.groupBy("src", "bucket").agg(F.sum("count").alias("n")).withColumn("pos", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    begun = runs(spark, names, np.array([quota[s] for s in names], dtype=np.int64), shards, seed)
+    # in the order of ranks, a run begins in the last bucket before it, and a bucket begins in the last run before it
+    line = counts.selectExpr("src", "pos", "0 AS kind", "bucket", "pos AS first", "CAST(NULL AS long) AS shard").unionByName(begun.selectExpr("src", f"block * {block} AS pos", "1 AS kind", "CAST(NULL AS long) AS bucket", "CAST(NULL AS long) AS first", "shard"))
+    line = line.select("src", "kind", "pos", F.coalesce("bucket", F.last("bucket", True).over(along)).alias("bucket"), F.coalesce("first", F.last("first", True).over(along)).alias("first"), F.coalesce("shard", F.last("shard", True).over(along)).alias("shard"))
+    line = line.where("bucket IS NOT NULL").groupBy("src", "bucket").agg(F.collect_list(F.when(F.col("kind") == 1, F.struct((F.col("pos") - F.col("first")).alias("at"), "shard"))).alias("begun"), F.max(F.when(F.col("kind") == 0, F.coalesce("shard", F.lit(-1)))).alias("carried"))
+    ranked = keys.withColumn("at", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(line.where(F.size("begun") > 0).select("src", "bucket", "begun"), ["src", "bucket"])
+    here = F.filter("begun", lambda r: (r["at"] >= F.col("at")) & (r["at"] < F.col("at") + F.col("count")))
+    cuts = ranked.select("src", "bucket", "place", F.explode(here).alias("r")).groupBy("src", "bucket").agg(F.collect_list(F.struct("place", "r.at", "r.shard")).alias("cuts"))
+    low = F.struct(F.lit(-(1 << 63)).alias("place"), F.lit(-1).cast("long").alias("at"), F.col("carried").alias("shard"))
+    cuts = line.join(cuts, ["src", "bucket"], "left").select(F.col("src").alias(name["src"]), F.col("bucket").alias(name["bucket"]), F.array_sort(F.concat(F.array(low), F.coalesce("cuts", F.array().cast("array<struct<place:long,at:long,shard:long>>")))).alias(name["cuts"]))
+    # buckets where nothing is drawn are left out, and with them their rows
+    cuts = cut(cuts.where(F.exists(name["cuts"], lambda c: c["shard"] >= 0)))
+    cuts = checked(cuts, cuts.select(F.sum(F.size(name["cuts"]))).first()[0] or 0)
+    own = F.filter(name["cuts"], lambda c: c["place"] <= F.col(name["place"]).bitwiseXOR(F.lit(-(1 << 63))))
+    drawn = rows.join(cuts, [name["src"], name["bucket"]]).withColumn(name["shard"], F.element_at(own, -1)["shard"]).where(F.col(name["shard"]) >= 0)
+    return drawn.select(*[drawn[c] for c in docs.columns], name["shard"]), name["shard"], shards
+
+
+def _local(docs: DataFrame, seed: int) -> F.Column:
+    """A shard's own order."""
+    return F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("long"), *([F.col("text")] if "text" in docs.columns else []))
+
+
+def _to_shards(drawn: DataFrame, shard: str, shards: int) -> DataFrame:
+    """Every shard whole in one partition, and as few shards as possible in each."""
+    each = -(-shards // MAX_PARTITIONS)
+    return drawn.repartitionById(-(-shards // each), F.floor(F.col(shard) / F.lit(each)).cast("int"))
+
+
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, **sizes: int) -> DataFrame:
+    """(doc_id, source, shard, position, text) of every document drawn; without text where docs has none."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *[F.col(c) for c in ("text",) if c in docs.columns])
+    drawn, shard, shards = mixed(rows, weights, seed, **sizes)
+    place = F.row_number().over(Window.partitionBy(shard).orderBy(_local(rows, seed), "doc_id")) - 1
+    out = _to_shards(drawn, shard, shards).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col(shard).alias("shard"), place.alias("position"), *[F.col(c) for c in ("text",) if c in rows.columns])
+    return out
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn, shard by shard, each shard in its local order."""
-    drawn = mixed(docs, F.col("source"), F.col("doc_id"))
-    return drawn.repartition("__shard").sortWithinPartitions("__shard", _shuffle(F.col("doc_id"), SEED)).select(*[drawn[c] for c in docs.columns])
+    drawn, shard, shards = mixed(docs)
+    return _to_shards(drawn, shard, shards).sortWithinPartitions(shard, _local(docs, SEED)).select(*[drawn[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
