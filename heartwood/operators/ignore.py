@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +12,25 @@ from heartwood.operators.tree import ROOT, self_and_ancestors
 
 #: Rules that hold for every tree, before a tree's own.
 DEFAULTS = (
-    "CONTEXT.md", ".git/", "tmp/", ".tmp/", "*.tmp", "*.tmp.*", "*.pyc", "*.pyc.*", "__pycache__/", "*.egg-info", "*.dist-info", "pip-wheel-metadata/", ".pytest_cache/", ".worktrees/", "node_modules/",
+    "CONTEXT.md", ".git/", ".ctx-cache/", ".claude/", "tmp/", ".tmp/", "*.tmp", "*.tmp.*", "*.pyc", "*.pyc.*", "__pycache__/", "*.egg-info", "*.dist-info", "pip-wheel-metadata/", ".pytest_cache/", ".worktrees/", "node_modules/",
     "*.gdoc", "*.gsheet", "*.gslides", "*.gform", "*.gdraw", "*.gmap", "*.gsite",
 )
 
 
+#: A tree's own rules, in its root.
+FILE = ".ctxignore"
+
+
+def load(root: str) -> str:
+    """The default rules and after them the tree's own."""
+    try:
+        with open(os.path.join(root, FILE), encoding="utf-8") as f:
+            own = f.read()
+    except OSError:
+        own = ""
+    return "\n".join([*DEFAULTS, own])
+
+
 def rule_lines(text: str) -> list[str]:
     return [x.rstrip("\r") for x in text.split("\n") if x.strip() and not x.strip().startswith("#")]
 

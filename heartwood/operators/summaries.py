@@ -12,7 +12,6 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from heartwood.functions.costs import output_budget
-from heartwood.functions.files import token_estimate
 
 Summarizer = Callable[[str, list[dict]], list[str]]
 
@@ -40,6 +39,11 @@ def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(known, "key", "left").withColumn("hit", F.col("summary").isNotNull())
 
 
+def hit_counts(looked_up: DataFrame) -> DataFrame:
+    """(hits, misses) of a look-up."""
+    return looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
 def evict(cache: DataFrame, keep: int) -> DataFrame:
     """The newest entries by first insertion; a key written again keeps its place and takes the new summary."""
     merged = cache.groupBy("key").agg(F.max_by("summary", "seq").alias("summary"), F.min("seq").alias("seq"))
@@ -61,24 +65,30 @@ def usage(batched: DataFrame, directory: str = "directory") -> DataFrame:
 
 
 def summarize(files: DataFrame, model: Summarizer = fake, directory: str = "directory") -> DataFrame:
-    """(directory, name, summary): batches of Arrow rows go to the model, one call for each directory in a batch.
+    """(directory, name, summary): a directory's files lie in one partition and go to the model in one call for each Arrow batch that they fill.
 
-    A model that fails or gives a wrong number of answers is asked file by file.
+    A model that fails or gives a wrong number of answers is asked file by file; a file that it still fails on has a null summary.
     """
 
+    def single(d: str, item: dict) -> str | None:
+        try:
+            return model(d, [item])[0]
+        except Exception:
+            return None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for d, part in frame.groupby(directory, sort=False, dropna=False):
                 items = part.drop(columns=[directory]).to_dict("records")
                 try:
                     answers = model(d, items)
-                except ValueError:
+                except Exception:
                     answers = []
                 if len(answers) != len(items):
-                    answers = [model(d, [x])[0] for x in items]
+                    answers = [single(d, x) for x in items]
                 yield pd.DataFrame({directory: part[directory], "name": part["name"], "summary": answers})
 
-    return files.mapInPandas(run, f"{directory} string, name string, summary string")
+    return files.repartition(directory).sortWithinPartitions(directory, "name").mapInPandas(run, f"{directory} string, name string, summary string")
 
 
 def zipped(entries: DataFrame, answers: DataFrame) -> DataFrame:
@@ -112,7 +122,3 @@ def find_json_array(text: str | None) -> list[str] | None:
 @F.pandas_udf(ArrayType(StringType()))
 def json_summaries(text: pd.Series) -> pd.Series:
     return text.map(find_json_array, na_action=None)
-
-
-def prompt_tokens(text: Column) -> Column:
-    return token_estimate(text)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heartwood.functions.files import sentinel
+
 ROOT = "."
 
 
@@ -51,6 +53,12 @@ def listing(tree: DataFrame) -> DataFrame:
     return tree.where("is_dir").select("path").join(have, "path", "left").select("path", F.coalesce("files", none).alias("files"), F.coalesce("dirs", none).alias("dirs"))
 
 
+def children(summaries: DataFrame) -> DataFrame:
+    """(path, children): for each directory the (name, summary) of those directories in it that have a summary, by name."""
+    below = summaries.where(F.col("path") != ROOT).select(parent_of(F.col("path")).alias("parent"), F.struct(name_of(F.col("path")).alias("name"), "summary").alias("c"))
+    return below.groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list("c")).alias("children"))
+
+
 def bottom_up(dirs: DataFrame) -> DataFrame:
     """Deepest first, by path within a depth."""
     return dirs.orderBy(F.desc("depth"), "path")
@@ -61,22 +69,30 @@ def closure(changed: DataFrame) -> DataFrame:
     return changed.select(F.explode(self_and_ancestors(parent_of(F.col("path")))).alias("path")).distinct()
 
 
-def merkle(tree: DataFrame, file_hashes: DataFrame, max_depth: int) -> DataFrame:
+def merkle(tree: DataFrame, file_hashes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(path, depth, hash) of every directory: SHA-256 over 'name:hash' lines of its children by name.
 
     One grouping for each level, deepest first; a file's hash comes from
-    ``file_hashes`` (path, hash). An empty directory has the hash of nothing.
+    ``file_hashes`` (path, hash). An empty directory has the hash of nothing;
+    one that can't be listed, or contains itself, a hash of its own kind (where
+    the tree has the columns unlisted and is_loop). The deepest level is asked
+    of the tree unless ``max_depth`` gives it. Ignored children must have been
+    left out of the tree.
     """
+    if max_depth is None:
+        max_depth = tree.where("is_dir").agg(F.max("depth")).first()[0] or 0
     leaves = tree.where("NOT is_dir").join(file_hashes, "path").select("parent", "name", "hash", "depth")
+    odd = [F.when(F.col(c), sentinel(label)) for c, label in (("is_loop", "loop"), ("unlisted", "error")) if c in tree.columns]
     below = None
     levels = []
     for depth in range(max_depth, -1, -1):
-        dirs = tree.where(F.col("is_dir") & (F.col("depth") == depth)).select("path", "parent", "name")
+        dirs = tree.where(F.col("is_dir") & (F.col("depth") == depth)).select("path", "parent", "name", F.coalesce(*odd, F.lit(None).cast("string")).alias("odd"))
         children = leaves.where(F.col("depth") == depth + 1).drop("depth")
         children = children if below is None else children.unionByName(below)
         line = F.transform(F.array_sort(F.collect_list(F.struct("name", "hash"))), lambda c: F.concat(c["name"], F.lit(":"), c["hash"], F.lit("\n")))
         summed = children.groupBy(F.col("parent").alias("path")).agg(F.array_join(line, "").alias("lines"))
-        hashed = dirs.join(summed, "path", "left").withColumn("hash", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("lines", F.lit("")).cast("binary"), 256)))
+        own = F.concat(F.lit("sha256:"), F.sha2(F.coalesce("lines", F.lit("")).cast("binary"), 256))
+        hashed = dirs.join(summed, "path", "left").withColumn("hash", F.coalesce("odd", own))
         levels.append(hashed.select("path", F.lit(depth).alias("depth"), "hash"))
         below = hashed.select("parent", "name", "hash")
     out = levels[0]

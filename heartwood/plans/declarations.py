@@ -1,17 +1,22 @@
-"""Declaration extractors over a source text of each language, with the names that a reader finds in it.
+"""Declaration extractors over one source text for each document, with the names that a reader finds in it.
 
-The snippets stand in for source files, of which the tables have none; the SQL
-gives the names written out by hand, so it checks the extractor itself. Some
+The tables hold no source files, so snippets stand in for them, in which every
+declared name carries the document's number; the SQL gives the names written
+out by hand. Some
 rules take in more than a reader would: a Java record is a method too, and a
 C# type before a brace a property.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heartwood.functions.declarations import declarations
+from heartwood.functions import files
+from heartwood.functions.declarations import by_language, declarations
+from heartwood.sources.tables import table
 
 SNIPPETS: dict[str, str] = {
     "js_ts": "export function load() {}\nexport async function save() {}\nexport const add = (a) => a\nexport let mul = function (a) {}\nfunction hidden() {}\nexport abstract class Store {}\nexport interface Shape {}\nexport type Id = string\nexport default load\n",
@@ -41,18 +46,56 @@ EXPECTED: dict[str, dict[str, str]] = {
 }
 
 
-def extract(spark: SparkSession, language: str) -> DataFrame:
-    rows = spark.createDataFrame([(SNIPPETS[language],)], "text string").select(declarations(language, F.col("text")).alias("m"))
-    return rows.select(F.explode("m").alias("kind", "found")).select("kind", F.array_join("found", ",").alias("names"))
+MARK = "§"
+
+
+def marked(language: str) -> str:
+    """The snippet with a mark after every name that is expected in it; ``empty?`` takes it before its sign."""
+    out = SNIPPETS[language]
+    for name in sorted({n for names in EXPECTED[language].values() for n in names.split(",") if n}, key=len, reverse=True):
+        stem = name.rstrip("?")
+        out = re.sub(rf"(?<!\w){re.escape(stem)}(?![\w{MARK}.])", stem + MARK, out)
+    return out
+
+
+def extract(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """(doc_id, kind, names): one source for each document, in which every declared name carries its number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    source = F.replace(F.lit(marked(language)), F.lit(MARK), F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", declarations(language, source).alias("m"))
+    return rows.select("doc_id", F.explode("m").alias("kind", "found")).select("doc_id", "kind", F.array_join("found", ",").alias("names"))
 
 
 def _query(language: str):
-    return lambda spark, sf_dir: extract(spark, language)
+    return lambda spark, sf_dir: extract(spark, sf_dir, language)
+
+
+def _named(names: str) -> str:
+    return ",".join(f"{n.rstrip('?')}{MARK}{'?' * n.endswith('?')}" for n in names.split(",") if n)
+
+
+def _sql(rows: dict[str, str]) -> str:
+    values = ", ".join(f"('{k}', '{_named(v)}')" for k, v in rows.items())
+    return f"SELECT doc_id, kind, replace(names, '{MARK}', CAST(doc_id AS VARCHAR)) AS names FROM documents CROSS JOIN (VALUES {values}) AS t(kind, names)"
+
+
+#: A file's suffix, and the language that its content is in; the last two have no extractor.
+_SUFFIXES = [(".tsx", "js_ts"), (".rs", "rust"), (".go", "go"), (".java", "java"), (".cs", "csharp"), (".kt", "kotlin"), (".rb", "ruby"), (".php", "php"), (".swift", "swift"), (".exs", "elixir"), (".py", "python"), (".c", "go"), (".txt", "go")]
+
+
+def dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every extractor by the language of a file's name: documents take turns as files of all suffixes."""
+    k, n = F.pmod(F.col("doc_id"), F.lit(len(_SUFFIXES))), F.col("doc_id").cast("string")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), n, pick([s for s, _ in _SUFFIXES])).alias("name"), F.replace(pick([marked(x) for _, x in _SUFFIXES]), F.lit(MARK), n).alias("text"))
+    found = rows.select("doc_id", F.explode(by_language(files.detect_language(F.col("name")), F.col("text"))).alias("kind", "found"))
+    return found.select("doc_id", "kind", F.array_join("found", ",").alias("names"))
 
 
-def _values(rows: dict[str, str]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in rows.items()) + ") AS t(kind, names)"
+def _dispatched_sql() -> str:
+    rows = ", ".join(f"({i}, '{kind}', '{_named(names)}')" for i, (_, x) in enumerate(_SUFFIXES[:11]) for kind, names in EXPECTED[x].items())
+    return f"SELECT doc_id, kind, replace(names, '{MARK}', CAST(doc_id AS VARCHAR)) AS names FROM documents JOIN (VALUES {rows}) AS t(k, kind, names) ON doc_id % {len(_SUFFIXES)} = k"
 
 
-QUERIES = {f"extract_{x}": _query(x) for x in SNIPPETS}
-SQL = {f"extract_{x}": _values(EXPECTED[x]) for x in SNIPPETS}
+QUERIES = {"extract_by_language": dispatched} | {f"extract_{x}": _query(x) for x in SNIPPETS}
+SQL = {"extract_by_language": _dispatched_sql()} | {f"extract_{x}": _sql(EXPECTED[x]) for x in SNIPPETS}

@@ -26,7 +26,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def front(path: F.Column) -> dict[str, F.Column]:
     size = F.length(path)
-    return {"generated": F.lit("'2024-01-01T00:00:00Z'"), "generator": F.lit("g/1"), "model": F.lit("m"), "content_hash": F.concat(F.lit("sha256:"), path), "files": F.size("files"), "dirs": F.size("dirs"), "tokens_total": size * 10}
+    return {"generated": F.lit("2024-01-01T00:00:00Z"), "generator": F.lit("g/1"), "model": F.lit("m"), "content_hash": F.concat(F.lit("sha256:"), path), "files": F.size("files"), "dirs": F.size("dirs"), "tokens_total": size * 10}
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def verify_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(spark, sf_dir).select("path", F.array_join(issues, "|").alias("issues"))
 
 
+def subdirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories with the summaries of those children that have a sound manifest."""
+    m = texts(spark, sf_dir).select("path", manifests.parse(F.col("text")).alias("m")).where("m.ok AND path <> '.'")
+    return tree.children(m.select("path", manifests.summary_line(F.col("m.body"), tree.name_of(F.col("path"))).alias("summary"))).select("path", F.array_join(F.transform("children", lambda c: F.concat(c["name"], F.lit(": "), c["summary"])), "|").alias("children"))
+
+
 def json_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers around a JSON array; ``events`` gives as many as there are runs."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
@@ -63,6 +69,7 @@ QUERIES = {
     "manifest_summary": lambda s, d: rendered(s, d).select("path", manifests.summary_line(F.col("body"), F.col("path")).alias("summary")),
     "purpose_notes": lambda s, d: rendered(s, d).select("path", manifests.purpose_and_notes(F.col("body"), F.col("path")).alias("p")).select("path", "p.purpose", F.array_join("p.notes", ",").alias("notes")),
     "verify_body": verify_body,
+    "subdir_summaries": subdirs,
     "json_summaries": json_summaries,
 }
 
@@ -85,6 +92,7 @@ SQL = {
     "manifest_parse": f"{WITH} SELECT path, true AS ok, '2024-01-01T00:00:00Z' AS generated, 'm' AS model, 'sha256:' || path AS content_hash, files::VARCHAR AS files, dirs::VARCHAR AS dirs, (length(path) * 10)::VARCHAR AS tokens_total, body FROM bodies WHERE length(path) % 7 <> 3 UNION ALL SELECT path, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM bodies WHERE length(path) % 7 = 3",
     "manifest_summary": f"{WITH} SELECT path, 'Holds ' || path || '.' AS summary FROM bodies",
     "purpose_notes": f"{WITH} SELECT path, 'Holds ' || path || '.' AS purpose, CASE WHEN contains(path, '/') THEN '' ELSE 'one,two' END AS notes FROM bodies",
+    "subdir_summaries": f"{WITH} SELECT parent AS path, string_agg(name || ': Holds ' || path || '.', '|' ORDER BY name) AS children FROM bodies JOIN dirs USING (path) WHERE length(path) % 7 <> 3 AND parent IS NOT NULL GROUP BY parent",
     "verify_body": f"{WITH} SELECT path, {_ISSUES} AS issues FROM bodies",
     "json_summaries": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a ' || event_id || '|b' WHEN 1 THEN 'c ' || event_id END AS summaries FROM events",
 }

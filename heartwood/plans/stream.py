@@ -31,7 +31,7 @@ def counted(df: DataFrame) -> DataFrame:
 QUERIES = {
     "debounce": bursts,
     "move_explode": lambda s, d: counted(debounce.touched(_events(s, d))),
-    "event_filter": lambda s, d: counted(debounce.touched(debounce.relevant(_events(s, d), ["*.tmp"]))),
+    "event_filter": lambda s, d: counted(debounce.relevant(_events(s, d), ["*.tmp"])),
 }
 _EVENTS = "WITH e AS (SELECT event_id, 'd' || (user_id % 7) || '/' || CASE event_id % 6 WHEN 0 THEN 'CONTEXT.md' WHEN 1 THEN 'x.tmp' ELSE 'f.txt' END AS src, event_type = 'signup' AS moved FROM events)"
 _BOTH = "SELECT path, count(*) AS n FROM (SELECT src AS path FROM {0} UNION ALL SELECT src || '.new' FROM {0} WHERE moved) GROUP BY path"
@@ -40,5 +40,6 @@ SQL = {
 runs AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM gaps)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts, count(*) AS events FROM runs GROUP BY user_id, k""",
     "move_explode": f"{_EVENTS} {_BOTH.format('e')}",
-    "event_filter": f"{_EVENTS}, r AS (SELECT * FROM e WHERE moved OR (event_id % 5 <> 0 AND event_id % 6 > 1)) {_BOTH.format('r')}",
+    "event_filter": f"""{_EVENTS}, ends AS (SELECT src AS path, moved, event_id % 5 = 0 AS folder FROM e UNION ALL SELECT src || '.new', moved, event_id % 5 = 0 FROM e WHERE moved)
+SELECT path, count(*) AS n FROM ends WHERE split_part(path, '/', 2) <> 'CONTEXT.md' AND NOT ends_with(path, '.tmp') AND (moved OR NOT folder) GROUP BY path""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heartwood.functions import files, manifests
 from heartwood.operators import health, ignore, tree
+from heartwood.sources import git
 from heartwood.sources.tables import table
 
 _DIR = "coalesce(source, 'none') || '/' || coalesce(lang, 'none')"
@@ -29,6 +30,16 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.merkle(nodes(spark, sf_dir), h, DEPTH)
 
 
+_MIXED = "coalesce(source, 'none') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/' || coalesce(lang, 'none') ELSE '/' || coalesce(lang, 'none') || '/deep' END || '/' || CAST(doc_id AS VARCHAR(20))"
+
+
+def merkle_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories that hold files and directories alike, names that end in 7 left out by a rule; the depth is asked of the tree."""
+    d = table(spark, sf_dir, "documents").selectExpr(f"{_MIXED} AS path", "text")
+    kept = ignore.keep(tree.nodes(d.select("path")), ["*7"])
+    return tree.merkle(kept, d.select("path", files.file_hash(F.col("text").cast("binary")).alias("hash")))
+
+
 _STORED = "length(path) % 5 <> 0"
 _FRONT = {"ok": "length(path) % 7 <> 3", "content_hash": "CASE WHEN length(path) % 4 = 1 THEN '' WHEN length(path) % 4 = 2 THEN 'sha256:old' ELSE hash END", "tokens_total": "length(path) * 100", "model": "CASE WHEN length(path) % 3 = 0 THEN '' ELSE 'm' END"}
 
@@ -60,16 +71,10 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mtime_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifests older than the newest file beside them."""
-    newest = docs(spark, sf_dir).groupBy(tree.parent_of(F.col("path")).alias("path")).agg(F.max("doc_id").alias("newest"))
-    return newest.where(F.col("newest") > F.length("path") * 100).select("path")
-
-
-def subdirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories with the summaries of those children that have a manifest."""
-    child = stored(spark, sf_dir).where("path <> '.'").select(tree.parent_of(F.col("path")).alias("parent"), tree.name_of(F.col("path")).alias("name"))
-    found = child.groupBy(F.col("parent").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("children"))
-    return found
+    """Manifests older than the newest file beside them: a manifest is as old as its directory's last document of an even length."""
+    d = table(spark, sf_dir, "documents").selectExpr(f"{_PATH} AS path", "doc_id AS mtime", "n_chars")
+    m = d.where("n_chars % 2 = 0").groupBy(tree.parent_of(F.col("path")).alias("path")).agg(F.max("mtime").alias("mtime"))
+    return git.older_than_siblings(d.select("path", "mtime"), m)
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +116,7 @@ QUERIES = {
     "bottom_up_order": lambda s, d: tree.bottom_up(nodes(s, d).where("is_dir")).select("path", "depth"),
     "ignore_filter": ignored_nodes,
     "merkle_hash": hashes,
+    "merkle_mixed": merkle_mixed,
     "smart_targets": lambda s, d: tree.closure(_changed(s, d, 97)),
     "changed_union": lambda s, d: _changed(s, d, 6).union(_changed(s, d, 10)).distinct(),
     "diff_sets": lambda s, d: _changed(s, d, 6).subtract(_changed(s, d, 10)),
@@ -122,7 +128,6 @@ QUERIES = {
     "verify_fields": lambda s, d: fronts(s, d).select("path", F.array_join(manifests.missing_fields(F.struct(*manifests.REQUIRED)), ",").alias("fields")).where("fields <> ''"),
     "verify_dirs": verified,
     "verify_summary": lambda s, d: health.verify_summary(checked(s, d), verified(s, d)),
-    "subdir_summaries": subdirs,
     "budget_cutoff": lambda s, d: health.budget_cutoff(_tokens(s, d), BUDGET),
     "export_depth": lambda s, d: tree.within_depth(nodes(s, d).where("is_dir"), 1).select("path"),
     "export_filter": lambda s, d: exported(s, d, "missing"),
@@ -155,10 +160,20 @@ SQL = {
     "ignore_filter": f"""{WITH} SELECT path FROM nodes WHERE NOT (path = 'src3' OR starts_with(path, 'src3/') OR path = 'src4/fr' OR starts_with(path, 'src4/fr/')
   OR (NOT is_dir AND ((path LIKE '%.tmp' AND NOT contains(name, '1')) OR (starts_with(path, 'src5/') AND name LIKE '%2.txt'))))""",
     "merkle_hash": f"{WITH} SELECT * FROM hashes",
+    "merkle_mixed": f"""WITH docs AS (SELECT coalesce(source, 'none') AS top, coalesce(lang, 'none') AS leaf, doc_id % 3 AS k, CAST(doc_id AS VARCHAR) AS name, doc_id, text FROM documents WHERE NOT ends_with(coalesce(source, 'none'), '7')),
+leaves AS (SELECT top || CASE k WHEN 0 THEN '' WHEN 1 THEN '/' || leaf ELSE '/' || leaf || '/deep' END AS parent, name, 'sha256:' || sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS hash FROM docs WHERE NOT ends_with(name, '7')),
+d3 AS (SELECT DISTINCT top || '/' || leaf || '/deep' AS path, top || '/' || leaf AS parent FROM docs WHERE k = 2), d2 AS (SELECT DISTINCT top || '/' || leaf AS path, top AS parent, leaf AS name FROM docs WHERE k > 0), d1 AS (SELECT DISTINCT top AS path FROM docs),
+h3 AS (SELECT path, d3.parent, 'deep' AS name, 'sha256:' || sha256(coalesce(string_agg(l.name || ':' || hash || chr(10), '' ORDER BY l.name), '')) AS hash FROM d3 LEFT JOIN leaves l ON l.parent = path GROUP BY ALL),
+c2 AS (SELECT * FROM leaves UNION ALL SELECT parent, name, hash FROM h3),
+h2 AS (SELECT path, d2.parent, d2.name, 'sha256:' || sha256(coalesce(string_agg(l.name || ':' || hash || chr(10), '' ORDER BY l.name), '')) AS hash FROM d2 LEFT JOIN c2 l ON l.parent = path GROUP BY ALL),
+c1 AS (SELECT * FROM leaves UNION ALL SELECT parent, name, hash FROM h2),
+h1 AS (SELECT path, 'sha256:' || sha256(coalesce(string_agg(l.name || ':' || hash || chr(10), '' ORDER BY l.name), '')) AS hash FROM d1 LEFT JOIN c1 l ON l.parent = path GROUP BY ALL),
+h0 AS (SELECT 'sha256:' || sha256(coalesce(string_agg(path || ':' || hash || chr(10), '' ORDER BY path), '')) AS hash FROM h1)
+SELECT path, 3 AS depth, hash FROM h3 UNION ALL SELECT path, 2, hash FROM h2 UNION ALL SELECT path, 1, hash FROM h1 UNION ALL SELECT '.', 0, hash FROM h0""",
     "smart_targets": f"{WITH} {_TARGETS}",
     "changed_union": f"{WITH} SELECT DISTINCT path FROM docs WHERE doc_id % 6 = 0 OR doc_id % 10 = 0",
     "diff_sets": f"{WITH} SELECT DISTINCT path FROM docs WHERE doc_id % 6 = 0 AND doc_id % 10 <> 0",
-    "mtime_stale": f"{WITH} SELECT dir AS path FROM docs GROUP BY dir HAVING max(doc_id) > length(dir) * 100",
+    "mtime_stale": f"{WITH} SELECT dir AS path FROM (SELECT dir, max(doc_id) AS newest, max(doc_id) FILTER (n_chars % 2 = 0) AS mtime FROM docs JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) GROUP BY dir) WHERE newest > mtime",
     "health": f"{WITH} SELECT path, status, tokens_total::VARCHAR AS tokens_total, error FROM health",
     "health_summary": f"{WITH} SELECT count(*) AS total, {_COUNTS} FROM health",
     "coverage_stats": f"{WITH} SELECT count(*) AS dirs, count(*) FILTER (status <> 'missing') AS covered, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'stale') AS stale, CAST(coalesce(sum(tokens_total), 0) AS BIGINT) AS tokens FROM health",
@@ -166,7 +181,6 @@ SQL = {
     "verify_fields": f"{WITH} SELECT path, concat_ws(',', CASE WHEN model = '' THEN 'model' END, CASE WHEN content_hash = '' THEN 'content_hash' END) AS fields FROM stored WHERE ok AND (model = '' OR content_hash = '')",
     "verify_dirs": f"{WITH} SELECT path, kind AS status FROM verified WHERE kind IS NOT NULL",
     "verify_summary": f"{WITH} SELECT count(*) AS dirs, {_COUNTS}, (SELECT count(*) FROM verified WHERE kind IS NOT NULL) AS invalid, (SELECT count(*) FROM verified WHERE kind = 'invalid_body') AS invalid_body FROM health",
-    "subdir_summaries": f"{WITH} SELECT parent AS path, string_agg(name, ',' ORDER BY name) AS children FROM stored JOIN dirs USING (path) WHERE parent IS NOT NULL GROUP BY parent",
     "budget_cutoff": f"{WITH} SELECT *, running < {BUDGET} AS runs FROM (SELECT path, depth, tokens, {_RUNNING} AS running FROM tokens)",
     "export_depth": f"{WITH} SELECT path FROM dirs WHERE depth <= 1",
     "export_filter": f"{WITH} SELECT split_part(path, '/', 1) AS top, string_agg('# ' || CASE WHEN path = '.' THEN './' ELSE path || '/' END || ' [MISSING]', chr(10) ORDER BY path) AS content FROM health WHERE status = 'missing' GROUP BY 1",

@@ -18,17 +18,17 @@ from heartwood.operators.tree import name_of
 GAP = "500 milliseconds"
 
 
-def relevant(events: DataFrame, rules: list[str], manifest: str = MANIFEST) -> DataFrame:
-    """Events on files that aren't manifests and aren't ignored; moves always count."""
-    path = F.col("src_path")
-    counts = ~F.col("is_directory") & (name_of(path) != manifest) & ~ignored(path, F.lit(False), rules)
-    return events.where((F.col("event_type") == "moved") | counts)
+def touched(events: DataFrame) -> DataFrame:
+    """(path, ts, event_type, is_directory): a move touches both its ends."""
+    both: Column = F.when(F.col("event_type") == "moved", F.array_distinct(F.array("src_path", "dest_path"))).otherwise(F.array("src_path"))
+    return events.select(F.explode(F.array_compact(both)).alias("path"), "ts", "event_type", "is_directory")
 
 
-def touched(events: DataFrame) -> DataFrame:
-    """(path, ts): a move touches both its ends."""
-    both: Column = F.when(F.col("event_type") == "moved", F.array("src_path", "dest_path")).otherwise(F.array("src_path"))
-    return events.select(F.explode(F.array_compact(both)).alias("path"), "ts")
+def relevant(events: DataFrame, rules: list[str], manifest: str = MANIFEST) -> DataFrame:
+    """What is touched, without manifests and ignored paths; directories count where they are the end of a move."""
+    path, is_dir = F.col("path"), F.col("is_directory")
+    fine = (name_of(path) != manifest) & ~ignored(path, is_dir, rules)
+    return touched(events).where(fine & ((F.col("event_type") == "moved") | ~is_dir))
 
 
 def bursts(events: DataFrame, key: str = "path", gap: str = GAP, late: str | None = None) -> DataFrame:
