@@ -13,7 +13,14 @@ costs of 0 and infinity gives the merges' result.
 
 A place between a character and a following blank, which no piece of the
 vocabulary spans, is such a boundary in any text. Chunks between these are
-looked up in a memo, so the search runs once for each different chunk.
+looked up in a memo, so the search runs once for each different chunk. Chunks of
+up to ``SHORT`` characters, no longer than a few windows, are searched many at
+once, place by place (``Lockstep``); longer ones by ``Stream``. Both are the same
+search with the same result for a chunk of any length, and are tested on the
+same chunks.
+
+``encode`` gives ids and whether they decode to the text; ``decode`` is the way
+back for any table of ids.
 
 Defined results: a null or empty text has no ids, a null one a null list;
 texts of any length are encoded whole, in one pass; characters outside the
@@ -31,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heartwood.llm.common import KEPT, Probe, encode_words, id_text, map_batches, mix64, ragged, slices
 
@@ -478,6 +486,24 @@ def encode(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     return map_batches(id_text(docs), run, "doc_id long, n_tokens int, ids array<int>, round_trip boolean", keeps="pieces")
 
 
+def decode(encoded: DataFrame, path: str = MODEL_PATH) -> DataFrame:
+    """(doc_id, text): the texts of (doc_id, ids); null ids give a null text, and bytes that are no UTF-8 the replacement character."""
+    with open(path, "rb") as f:
+        shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
+
+    def run(batches):
+        v = shared.value
+        for batch in batches:
+            column = batch.column("ids")
+            missing = column.is_null().to_numpy(zero_copy_only=False)
+            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends = decode_batch(v, column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)]))
+            texts = [None if gone else flat[a:b].tobytes().decode("utf-8", "replace") for gone, a, b in zip(missing, ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return map_batches(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), run, "doc_id long, text string")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode(docs)
 
