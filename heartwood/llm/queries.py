@@ -10,8 +10,6 @@ from heartwood.llm import ego, html, langid, license_scan, mixing, permutation,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     return {
         "op1_substring_dedup": substring.query,
         "op2_sentencepiece": pieces.query,
@@ -23,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": html.query,
         "op9_license_scan": license_scan.query,
         "op10_language_id": langid.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
