@@ -183,10 +183,9 @@ def _to_shards(drawn: DataFrame, shard: str, shards: int) -> DataFrame:
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, **sizes: int) -> DataFrame:
     """(doc_id, source, shard, position, text) of every document drawn; without text where docs has none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *[F.col(c) for c in ("text",) if c in docs.columns])
-    drawn, shard, shards = mixed(rows, weights, seed, **sizes)
+    drawn, shard, _ = mixed(rows, weights, seed, **sizes)
     place = F.row_number().over(Window.partitionBy(shard).orderBy(_local(rows, seed), "doc_id")) - 1
-    out = _to_shards(drawn, shard, shards).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col(shard).alias("shard"), place.alias("position"), *[F.col(c) for c in ("text",) if c in rows.columns])
-    return out
+    return drawn.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col(shard).alias("shard"), place.alias("position"), *[F.col(c) for c in ("text",) if c in rows.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
